@@ -28,3 +28,55 @@ def previous(df: DataFrame, keys: list[str], order: str, values: list[str], name
         on &= cut[k].eqNullSafe(edges[f"_k{n}"])
     joined = cut.join(edges, on, "left")
     return joined.withColumn(name, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_before"))).drop("_block", "_before", "_first", "_edge", "_kb", *[f"_k{n}" for n in range(len(keys))])
+
+
+def with_order(df: DataFrame, column: str) -> DataFrame:
+    """``df`` whose rows are in the order of a numeric column."""
+    return df.withColumn("__ord", F.col(column))
+
+
+def positions(df: DataFrame, order: str = "__ord", name: str = "__idx", buckets: int = 64) -> DataFrame:
+    """``df`` with the dense position of each row in the order of a numeric column, from 0.
+
+    A window over everything would run in one task. Here the order is cut at approximate quantiles, rows are
+    numbered within the cuts side by side, and the counts of the cuts, at most ``buckets`` of them, are added
+    up. Ties keep no certain order; give them another order column.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.005)))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    cut = df.withColumn("_b", bucket)
+    sizes = {r["_b"]: r["count"] for r in cut.groupBy("_b").count().collect()}
+    before, total = {}, 0
+    for b in sorted(sizes):
+        before[b] = total
+        total += sizes[b]
+    offset = F.create_map(*[x for b, n in before.items() for x in (F.lit(b), F.lit(n).cast("bigint"))])[F.col("_b")] if before else F.lit(0).cast("bigint")
+    return cut.withColumn(name, offset + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1).drop("_b")
+
+
+def framed(df: DataFrame, new: dict[str, "object"], before: int, after: int, order: str = "__ord", least: int = 65_536) -> DataFrame:
+    """``df`` with columns over a frame of ``before`` rows up to ``after`` rows in one order of all rows.
+
+    ``new`` maps names to functions of a window without a frame. Rows are cut into blocks by position, and
+    each block also gets the few rows around it that its frames reach; blocks are independent tasks.
+    """
+    size = max(least, 4 * (before + after + 1))
+    at = F.col("__idx")
+    home = F.floor(at / size)
+    own = positions(df, order)
+    reach = F.array_distinct(F.array(F.greatest(F.lit(0), F.floor((at - after) / size)), home, F.floor((at + before) / size)))
+    spread = own.withColumn("__home", home).withColumn("__block", F.explode(reach))
+    w = Window.partitionBy("__block").orderBy("__idx")
+    out = spread.withColumns({name: f(w) for name, f in new.items()})
+    return out.where("__block = __home").drop("__idx", "__home", "__block")
+
+
+def running_sum(df: DataFrame, column: str, name: str, order: str = "__ord", size: int = 65_536) -> DataFrame:
+    """``df`` with the sum of all values up to each row; missing values stay missing and count nothing."""
+    own = positions(df, order).withColumn("__block", F.floor(F.col("__idx") / size))
+    inside = F.sum(F.col(f"`{column}`")).over(Window.partitionBy("__block").orderBy("__idx").rowsBetween(Window.unboundedPreceding, 0))
+    sums = own.groupBy("__block").agg(F.sum(F.col(f"`{column}`")).alias("_s"))
+    earlier = sums.select(F.col("__block").alias("_kb"), F.sum("_s").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("_e"))
+    joined = own.withColumn("__inside", inside).join(earlier, F.col("__block") == F.col("_kb"))
+    total = F.coalesce("_e", F.lit(0)) + F.col("__inside")
+    return joined.withColumn(name, F.when(F.col(f"`{column}`").isNotNull(), total)).drop("__idx", "__block", "__inside", "_kb", "_e")
