@@ -30,8 +30,12 @@ SPAN3, SPAN4 = 5, 6
 PATTERNS = [(0, *c) for c in combinations(range(1, SPAN3), 2)] + [(0, *c) for c in combinations(range(1, SPAN4), 3)]
 WEIGHTS = np.array([DECAY ** (p[-1] + 1 - len(p)) for p in PATTERNS], np.float32)
 PAD = SPAN4
-MAX_LABELLED = 6_000
+MAX_LABELLED = 3_000
+MAX_BACKGROUND = 3_000
 LANDMARKS = 400
+BACKGROUND_TRUST = 0.5
+#: Harmless documents are so many times rarer among reviewed ones than elsewhere.
+RARER = 4
 
 # Digits and signs that stand for letters inside words.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
@@ -211,7 +215,7 @@ def _fit(docs: list[list[str]], labels: np.ndarray, landmarks: int, c: float, re
         weight = np.concatenate([positive, np.minimum(good, 3)])
         on = weight > 0
         balance = (weight[: len(strings)].sum() or 1) / (weight[len(strings) :].sum() or 1)
-        weight[len(strings) :] *= max(balance, 0.2)
+        weight[len(strings) :] *= min(1.0, 3 * balance)
         w = _machine(np.vstack([z, z])[on], y[on], weight[on], c)
         s = z @ w[:-1] + w[-1]
         if n < repeats - 1:
@@ -237,44 +241,66 @@ def _held_out(docs: list[list[str]], y: np.ndarray, landmarks: int, c: float, re
     return held
 
 
-def train(texts: list[str | None], labels: list[int], landmarks: int = LANDMARKS, c: float = 3.0, repeats: int = 4, folds: int = 4, sure: float = 0.6, doubt: float = 0.5) -> Model:
-    """A model from labelled texts.
-
-    Some labels are wrong, so documents are first scored by models that haven't seen them; where such a
-    score contradicts the label by more than ``doubt`` (harmful) or ``sure`` (harmless), the label is left
-    out. The threshold is the one of the best F1 on what is left, again by models that haven't seen the
-    document. With labels of one kind only, or none, nothing scores above the border.
+def train(
+    texts: list[str | None],
+    labels: list[int],
+    background: list[str | None] = (),
+    landmarks: int = LANDMARKS,
+    c: float = 3.0,
+    repeats: int = 4,
+    folds: int = 3,
+    sure: float = 0.6,
+    doubt: float = 0.5,
+    wrong: float = 0.15,
+) -> Model:
+    """A model from labelled texts, and from texts without a label, most of which are harmless.
+
+    Some labels are wrong, and some of the background is harmful, so documents are first scored by models
+    that haven't seen them; where such a score contradicts the label by more than ``doubt`` (harmful, of
+    these no more than the share ``wrong``) or ``sure`` (harmless), the document is left out. The threshold is the one of the best F1 on the labelled
+    documents that are left, again by models that haven't seen them, harmless ones weighing more as reviews
+    prefer suspicious texts. With labels of one kind only, or none, nothing scores above the border.
     """
-    y = np.array(labels, bool)
-    if y.all() or not y.any():
+    own = np.array(labels, bool)
+    if own.all() or not own.any():
         return Model(np.zeros(SIZE + 1, np.float32), -1.0, 0.0)
-    docs = [[normal(s) for s in sentences(t)] for t in texts]
-    trust, threshold = np.ones(len(docs)), 0.0
-    if len(docs) >= 10 * folds:
+    y = np.concatenate([own, np.zeros(len(background), bool)])
+    docs = [[normal(s) for s in sentences(t)] for t in [*texts, *background]]
+    mixed = np.random.default_rng(5).permutation(len(docs))  # so that folds are alike
+    docs, y = [docs[k] for k in mixed], y[mixed]
+    base = np.where(mixed < len(own), 1.0, BACKGROUND_TRUST)
+    trust, threshold = base.copy(), 0.0
+    if len(own) >= 10 * folds:
         held = _held_out(docs, y, landmarks // 2, c, repeats, folds, trust)
-        trust = np.where(y & (held < -doubt) | ~y & (held > sure), 0.0, 1.0)
+        low = min(-doubt, np.quantile(held[y], wrong))
+        trust = np.where(y & (held < low) | ~y & (held > sure), 0.0, base)
         if not (y & (trust > 0)).any():
-            trust[:] = 1
+            trust = base
         held = _held_out(docs, y, landmarks // 2, c, repeats, folds, trust)
-        kept, h = y[trust > 0], held[trust > 0]
+        kept = (trust > 0) & (mixed < len(own))
+        k, h = y[kept], held[kept]
         grid = np.linspace(-0.8, 0.8, 65)
-        f1 = np.array([2 * (kept & (h > t)).sum() / max(1, (h > t).sum() + kept.sum()) for t in grid])
+        hit, false = np.array([(k & (h > t)).sum() for t in grid]), np.array([(~k & (h > t)).sum() for t in grid])
+        f1 = 2 * hit / np.maximum(1, hit + RARER * false + k.sum())
         smooth = np.convolve(np.pad(f1, 4, "edge"), np.ones(9) / 9, "valid")
         threshold = float(np.mean(grid[smooth >= smooth.max() - 1e-9]))
-    w, b = _fit([d for d, t in zip(docs, trust) if t], y[trust > 0], landmarks, c, repeats)
+    w, b = _fit([d for d, t in zip(docs, trust) if t], y[trust > 0], landmarks, c, repeats, trust[trust > 0])
     return Model(w, b, threshold)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[list[str | None], list[int]]:
-    """At most ``most`` labelled texts, chosen by a hash of their id, with the label most reviews give.
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_background: int = MAX_BACKGROUND) -> tuple[list[str | None], list[int], list[str | None]]:
+    """Labelled texts, their labels, and texts without one, at most so many of each, chosen by a hash of their id.
 
-    Documents whose reviews are evenly split are left out. The bound is what the driver has to hold.
+    The label is what most reviews say; documents whose reviews are evenly split are left out. The bounds
+    are what the driver has to hold.
     """
     votes = labels.where("is_harmful is not null").select("doc_id", "reviewer", "is_harmful", "labelled_at").distinct()
-    votes = votes.groupBy("doc_id").agg(F.avg("is_harmful").alias("share")).where("share <> 0.5")
-    chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    votes = votes.groupBy("doc_id").agg(F.avg("is_harmful").alias("share"))
+    chosen = votes.where("share <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
-    return [r.text for r in rows], [int(r.share > 0.5) for r in rows]
+    rest = documents.select("doc_id", "text").where("text is not null").join(votes, "doc_id", "left_anti")
+    other = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_background).collect()
+    return [r.text for r in rows], [int(r.share > 0.5) for r in rows], [r.text for r in other]
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
