@@ -36,7 +36,9 @@ def resolve_values(values: DataFrame, terms: list[tuple[int, str, list[str] | No
             names = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([resolver.resolve(x) for x in names], pa.int64())], names=["value", "term_id"])
 
-    return values.select("value").where("value is not null").distinct().mapInArrow(match, "value string, term_id bigint")
+    # names are few bytes but dear to match: spread them over all cores, which AQE would not
+    names = values.select("value").where("value is not null").distinct()
+    return names.repartition(2 * names.sparkSession.sparkContext.defaultParallelism).mapInArrow(match, "value string, term_id bigint")
 
 
 def with_terms(entries: DataFrame, terms: list[tuple[int, str, list[str] | None]], column: str = "value") -> DataFrame:
