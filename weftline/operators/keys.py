@@ -42,14 +42,15 @@ def resolve_values(values: DataFrame, terms: list[tuple[int, str, list[str] | No
 
 
 def with_terms(entries: DataFrame, terms: list[tuple[int, str, list[str] | None]], column: str = "value") -> DataFrame:
-    """``entries`` with the term_id that ``column`` means; 0 for null values too.
+    """``entries`` with the term_id that ``column`` means; 0 for null values too. A column term_id is replaced.
 
     The table of distinct values is joined back; Spark broadcasts it while it is small, and AQE splits the
     partition of a hot value where it isn't.
     """
-    found = resolve_values(entries.select(F.col(column).alias("value")), terms).toDF("_value", "_term")
-    joined = entries.join(found, entries[column] == found["_value"], "left")
-    return joined.withColumn("term_id", F.coalesce("_term", F.lit(0)).cast("bigint")).drop("_value", "_term")
+    value, term = (next(n for n in (f"__{kind}{k}" for k in range(10**6)) if n not in entries.columns) for kind in ("value", "term"))
+    found = resolve_values(entries.select(F.col(column).alias("value")), terms).toDF(value, term)
+    joined = entries.join(found, entries[column] == found[value], "left")
+    return joined.withColumn("term_id", F.coalesce(term, F.lit(0)).cast("bigint")).drop(value, term)
 
 
 def with_keys(entries: DataFrame, terms: list[tuple[int, str, list[str] | None]], column: str) -> DataFrame:
