@@ -35,16 +35,24 @@ def with_order(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("__ord", F.col(column))
 
 
-def positions(df: DataFrame, order: str = "__ord", name: str = "__idx", buckets: int = 64) -> DataFrame:
+def _between(value: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many cuts lie below a value, by binary search."""
+    if not cuts:
+        return F.lit(first)
+    m = len(cuts) // 2
+    return F.when(value <= cuts[m], _between(value, cuts[:m], first)).otherwise(_between(value, cuts[m + 1 :], first + m + 1))
+
+
+def positions(df: DataFrame, order: str = "__ord", name: str = "__idx", buckets: int | None = None) -> DataFrame:
     """``df`` with the dense position of each row in the order of a numeric column, from 0.
 
     A window over everything would run in one task. Here the order is cut at approximate quantiles, rows are
-    numbered within the cuts side by side, and the counts of the cuts, at most ``buckets`` of them, are added
-    up. Ties keep no certain order; give them another order column.
+    numbered within the cuts side by side, and the counts of the cuts, at most ``buckets`` of them (as many
+    as shuffle partitions, if not given), are added up. Ties keep no certain order; give them another order column.
     """
-    cuts = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.005)))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    cut = df.withColumn("_b", bucket)
+    buckets = buckets or min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(df.select(order).approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.5 / buckets)))
+    cut = df.withColumn("_b", _between(F.col(order), cuts))
     sizes = {r["_b"]: r["count"] for r in cut.groupBy("_b").count().collect()}
     before, total = {}, 0
     for b in sorted(sizes):

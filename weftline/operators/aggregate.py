@@ -95,7 +95,8 @@ def hierarchical_rollup(df: DataFrame, path_columns: str | list[str], value_colu
     ``target`` is the path joined by /, ``source`` its parent (the root's label for the first level, empty
     for the root), ``count`` the rows, ``value`` the sum of the value column (the count if there is none),
     then the sums of the numeric columns, ``{column}_sum`` but for the value column. Rows with a missing key
-    drop out from its level on. One pass with grouping sets gives all levels; the root sums the first.
+    drop out from its level on. One pass with grouping sets gives all levels and the root; an empty table gives
+    no rows.
     """
     path = names(path_columns)
     if not path:
@@ -108,14 +109,14 @@ def hierarchical_rollup(df: DataFrame, path_columns: str | list[str], value_colu
     base = df.filter(col(path[0]).isNotNull()).select(*[col(p).cast("string").alias(f"p{n}") for n, p in enumerate(path)], *[number(df, c).alias(f"s{n}") for n, c in enumerate(sums)])
     # a level's key is missing from the first missing part on
     parts = [f"p{n}" for n in range(len(path))]
-    sets = [[F.col(p) for p in parts[: n + 1]] for n in range(len(path))]
+    sets = [[F.col(p) for p in parts[:n]] for n in range(len(path) + 1)]  # the empty one is the root
     g = base.groupingSets(sets, *parts).agg(
         F.grouping_id(*parts).alias("gid"),
         F.count("*").alias("count"),
         *[F.coalesce(F.sum(f"s{n}"), F.lit(0)).alias(f"s{n}") for n in range(len(sums))],
     )
     depth = F.lit(0)
-    whole = F.lit(False)
+    whole = F.col("gid") == (1 << len(path)) - 1
     for n in range(len(path)):
         here = F.col("gid") == (1 << (len(path) - n - 1)) - 1
         depth = F.when(here, n + 1).otherwise(depth)
@@ -128,11 +129,11 @@ def hierarchical_rollup(df: DataFrame, path_columns: str | list[str], value_colu
     for n in range(1, len(path)):
         up = F.when(F.col("depth") == n + 1, F.concat_ws("/", *parts[:n])).otherwise(up)
     v = F.col(f"s{sums.index(value_column)}") if value_column in sums else F.col("count")
-    nodes = g.select(F.concat_ws("/", *parts).alias("target"), up.alias("source"), "count", v.alias("value"), *[F.col(f"s{n}").alias(out_names[c]) for n, c in enumerate(sums)], "depth", *parts)
+    at_root = F.col("depth") == 0
+    target = F.when(at_root, F.lit(root_label)).otherwise(F.concat_ws("/", *parts))
+    source = F.when(at_root, F.lit("")).otherwise(up)
+    nodes = g.select(target.alias("target"), source.alias("source"), "count", v.alias("value"), *[F.col(f"s{n}").alias(out_names[c]) for n, c in enumerate(sums)], "depth", *parts)
     # equal paths of different depth or spelling: the first one stays
-    own = ["target", "source", "count", "value", *[out_names[c] for c in sums]]
-    nodes = nodes.groupBy("target").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in own[1:]], "depth", *parts), F.struct("depth", *parts)).alias("n"))
-    nodes = nodes.select("target", *[F.col(f"n.`{c}`").alias(c) for c in own[1:]], F.col("n.depth").alias("depth"))
-    root = nodes.filter("depth = 1").agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).alias(c) for c in own[2:]])
-    root = root.select(F.lit(root_label).alias("target"), F.lit("").alias("source"), *[col(c).cast(nodes.schema[c].dataType) for c in own[2:]], F.lit(0).alias("depth"))
-    return root.unionByName(nodes).orderBy("depth", "target").drop("depth")
+    own = ["source", "count", "value", *[out_names[c] for c in sums]]
+    nodes = nodes.groupBy("target").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in own], "depth"), F.struct("depth", *parts)).alias("n"))
+    return nodes.orderBy("n.depth", "target").select("target", *[F.col(f"n.`{c}`").alias(c) for c in own])
