@@ -210,3 +210,23 @@ def test_paths(tmp_path):
     with pytest.raises(ValueError):
         security.safe_path("../x", str(tmp_path))
     assert security.safe_name("../../a b?.csv") == "a b_.csv"
+
+
+def test_file_stats(spark, tmp_path):
+    from weftline.describe_files import file_stats
+
+    for n, text in ((1, "name,value\na,1\nb,2\nc,3\n"), (2, "name,value\nd,4\n")):
+        (tmp_path / f"{n}.csv").write_text(text)
+    d = file_stats(spark, [str(tmp_path / "1.csv"), str(tmp_path / "2.csv")])
+    assert d["rows"] == 4 and [(f["name"], f["type"], f["max"]) for f in d["fields"]] == [("name", "STRING", None), ("value", "INTEGER", 4)]
+    (tmp_path / "t.json").write_text('[{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]')
+    assert file_stats(spark, [str(tmp_path / "t.json")])["info"]["tabular"] and file_stats(spark, [str(tmp_path / "t.json")])["rows"] == 2
+    (tmp_path / "n.json").write_text('{"nodes": [{"data": {"id": 1}}], "edges": []}')
+    assert file_stats(spark, [str(tmp_path / "n.json")])["fields"][0]["name"] == "nodes[].data.id"
+    (tmp_path / "v.mhd").write_text("NDims = 3\nDimSize = 4 3 2\nElementSpacing = 1 1 2.5\n")
+    v = file_stats(spark, [str(tmp_path / "v.mhd")])
+    assert v["rows"] == 24 and v["fields"][2]["max"] == 2.5
+    us = lambda a, b, x: bytes([a, 0, b, 0]) + b"US\x02\x00" + x.to_bytes(2, "little")
+    (tmp_path / "d.dcm").write_bytes(b"\0" * 128 + b"DICM" + us(0x28, 0x10, 5) + us(0x28, 0x11, 6))
+    assert file_stats(spark, [str(tmp_path / "d.dcm")])["rows"] == 30
+    assert file_stats(spark, ["x.zip"]) is None

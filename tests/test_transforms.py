@@ -152,11 +152,14 @@ def test_series(spark):
 def test_blocks_are_one_order(spark):
     from pyspark.sql import functions as F
 
-    from weftline.functions.ordered import framed, running_sum
+    from weftline.functions.ordered import fill_down, framed, running_sum
 
     df = spark.range(1000).withColumn("v", F.col("id") % 13).withColumn("__ord", 1000 - F.col("id"))
     got = framed(df, {"p": lambda w: F.lag("id", 3).over(w), "n": lambda w: F.lead("id", 2).over(w)}, 3, 2, least=50)
     assert all(r.p == (r.id + 3 if r.id < 997 else None) and r.n == (r.id - 2 if r.id > 1 else None) for r in got.collect())
+    holes = df.withColumn("h", F.when(F.col("id") % 90 == 5, F.col("id")))
+    last = {r.id: r.h for r in fill_down(holes, ["h"], size=64).collect()}
+    assert all(last[n] == next((k for k in range(n, 1000) if k % 90 == 5), None) for n in range(1000))
     total = {r.id: r.s for r in running_sum(df, "v", "s", size=64).collect()}
     acc = 0
     for n in range(999, -1, -1):

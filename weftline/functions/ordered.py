@@ -88,3 +88,17 @@ def running_sum(df: DataFrame, column: str, name: str, order: str = "__ord", siz
     joined = own.withColumn("__inside", inside).join(earlier, F.col("__block") == F.col("_kb"))
     total = F.coalesce("_e", F.lit(0)) + F.col("__inside")
     return joined.withColumn(name, F.when(F.col(f"`{column}`").isNotNull(), total)).drop("__idx", "__block", "__inside", "_kb", "_e")
+
+
+def fill_down(df: DataFrame, columns: list[str], order: str = "__ord", size: int = 65_536) -> DataFrame:
+    """``df`` whose empty cells in these columns take the last value before them in the order of all rows."""
+    own = positions(df, order).withColumn("__block", F.floor(F.col("__idx") / size))
+    inside = Window.partitionBy("__block").orderBy("__idx").rowsBetween(Window.unboundedPreceding, 0)
+    quoted = [F.col(f"`{c}`") for c in columns]
+    ends = own.groupBy(F.col("__block").alias("_kb")).agg(*[F.max_by(c, F.when(c.isNotNull(), F.col("__idx"))).alias(f"_e{n}") for n, c in enumerate(quoted)])
+    before = Window.orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    earlier = ends.select("_kb", *[F.last(f"_e{n}", ignorenulls=True).over(before).alias(f"_p{n}") for n in range(len(columns))])
+    held = own.withColumns({f"__f{n}": F.last(c, ignorenulls=True).over(inside) for n, c in enumerate(quoted)})
+    joined = held.join(earlier, F.col("__block") == F.col("_kb"))
+    filled = joined.withColumns({c: F.coalesce(f"__f{n}", f"_p{n}") for n, c in enumerate(columns)})
+    return filled.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from weftline.functions.ordered import fill_down
 from weftline.registry import transform
 from weftline.semantics import ORD, col, is_number, kind, names, need, ordered, visible
 
@@ -80,11 +81,9 @@ def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def fill_forward(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Empty cells take the last value above them."""
+    """Empty cells take the last value above them; rows are cut into blocks, so no task sees all of them."""
     hidden = ORD in df.columns
-    df = ordered(df)
-    w = Window.orderBy(ORD).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({c: F.last(col(c), ignorenulls=True).over(w) for c in known(df, columns)})
+    out = fill_down(ordered(df), known(df, columns))
     return out if hidden else out.drop(ORD)
 
 
