@@ -35,7 +35,7 @@ MAX_BACKGROUND = 3_000
 LANDMARKS = 400
 BACKGROUND_TRUST = 0.5
 #: Harmless documents are so many times rarer among reviewed ones than elsewhere.
-RARER = 2
+RARER = 4
 
 # Digits and signs that stand for letters inside words.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
