@@ -13,7 +13,7 @@ R = TermResolver(TERMS)
     [
         ("net_amount", 1), ("Net Amount", 1), ("NET-AMOUNT (k€)", 1), ("tbl_netAmount_2023", 1), ("Montant Net*", 1), ("amount_net", 1), ("net amuont", 1), ("netamount 12", 1), ("net_amt", 1), ("ÍMPORTE NETO", 1),
         ("BestellDatum", 2), ("order_dte", 2), ("DateOrder", 2), ("pax_cnt", 3), ("paxcnt", 3), ("whse.zone", 4), ("zone d entrepot", 4), ("warehouse", 4), ("contract", 7), ("Ｎｅｔ＿Ａｍｏｕｎｔ", 1),
-        ("rate", 0), ("amount", 0), ("date", 0), ("order_posture", 0), ("Velvet hue", 0), ("", 0), ("???", 0), (None, 0), ("n/a", 0), ("12", 0), ("Column7", 0), ("x" * 100_000, 0), ("net", 0),
+        ("tax_hue", 0), ("net_amuotn", 1), ("net_smpunt", 1), ("rate", 0), ("amount", 0), ("date", 0), ("order_posture", 0), ("Velvet hue", 0), ("", 0), ("???", 0), (None, 0), ("n/a", 0), ("12", 0), ("Column7", 0), ("x" * 100_000, 0), ("net", 0),
     ],
 )
 def test_resolve(name, want):

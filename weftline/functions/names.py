@@ -81,17 +81,20 @@ class TermResolver:
         self.compact: dict[str, set[int]] = defaultdict(set)
         self.orders: dict[str, set[int]] = defaultdict(set)
         self.canon: list[tuple[int, list[str]]] = []
+        self.parts: dict[str, list[tuple[str, ...]]] = defaultdict(list)
         for n, term, aliases in terms:
             for k, text in enumerate([term, *(a for a in aliases or [] if a)]):
                 w = words(text)
                 if not w:
                     continue
                 self.compact["".join(w)].add(n)
+                self.parts["".join(w)].append(tuple(w))
                 if k == 0:
                     self.canon.append((n, w))
                 if len(w) <= 4:
                     for p in permutations(w):
                         self.orders["".join(p)].add(n)
+                        self.parts["".join(p)].append(p)
         self.automaton = ahocorasick.Automaton()
         for text, ids in self.compact.items():
             self.automaton.add_word(text, (len(text), ids))
@@ -147,7 +150,7 @@ class TermResolver:
 
     def _similar(self, w: list[str]) -> int:
         text = "".join(w)
-        for ids in (self.orders.get(text, set()), self._cut(text), self._abbreviated(w), self._mistyped(text)):
+        for ids in (self.orders.get(text, set()), self._cut(text), self._abbreviated(w), self._mistyped(text, w)):
             if ids:
                 return next(iter(ids)) if len(ids) == 1 else NOTHING
         return NOTHING
@@ -180,7 +183,12 @@ class TermResolver:
             return shortens(text, full[0])
         return any(shortens(text[:k], full[0]) and self._tail(text[k:], full[1:]) for k in range(1, len(text)))
 
-    def _mistyped(self, text: str) -> set[int]:
+    @staticmethod
+    def _spread(w: list[str], full: tuple[str, ...]) -> bool:
+        """Whether, of two words, each keeps half of its letters, so that none is another word altogether."""
+        return len(w) != len(full) or len(w) != 2 or all(edits(a, b, k) <= k for a, b in zip(w, full) for k in [max(1, len(b) // 2)])
+
+    def _mistyped(self, text: str, w: list[str]) -> set[int]:
         most = min(self.max_edits, max(1, len(text) // 4)) if len(text) >= 5 else 0
         best, ids = most, set()
         letters = set(text)
@@ -189,6 +197,8 @@ class TermResolver:
                 if len(letters ^ set(full)) > 2 * most:
                     continue
                 d = edits(text, full, best)
+                if 1 < d <= best and not any(self._spread(w, p) for p in self.parts[full]):
+                    continue
                 if d < best:
                     best, ids = d, set()
                 if d == best and d > 0:

@@ -16,10 +16,9 @@ def _bound(df: DataFrame, column: str, value: object) -> Column:
     """A bound as a literal: a number, or, for times, nanoseconds since 1970 (a date or time too)."""
     t = kind(df, column)
     if is_time(t):
-        if isinstance(value, (dt.datetime, dt.date)):
-            return F.lit(value)
-        nanos = int(float(value))
-        return F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=nanos // 1000)).cast("timestamp_ntz")
+        if not isinstance(value, (dt.datetime, dt.date)):
+            value = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(float(value)) // 1000)
+        return F.lit(value.isoformat()).cast("timestamp_ntz")  # as text, so that no time zone comes in
     if not is_number(t) and not isinstance(t, T.BooleanType):
         raise TypeError(f"column {column} holds {t.simpleString()}, which can't be compared with a number")
     return F.lit(float(value))

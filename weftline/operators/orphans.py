@@ -55,29 +55,30 @@ def advance(state: Orphans, refs: DataFrame, parents: DataFrame, until: dt.datet
     that is delivered again counts at its earliest time. ``keep`` writes the new state to the shared
     folder, so that the next batch starts from tables and not from the history of all batches.
     """
-    now = F.lit(until) if until is not None else F.lit(dt.datetime(9999, 12, 31))
+    stamp = lambda t: F.lit(t.isoformat()).cast("timestamp_ntz")  # noqa: E731, as text, so that no time zone comes in
+    now = stamp(until or dt.datetime(9999, 12, 31))
     refs = refs.groupBy("ref_id", "scope", "key").agg(F.min("at").alias("at"))
     parents = parents.groupBy("scope", "key", "until").agg(F.min("since").alias("since")).select(*PARENT)
     index = _plus(state.parents, parents)
     opened = unmatched(refs, index).select(*REF)
     every = _plus(state.refs, refs.select(*REF))
-    dead = index.where((F.col("until") <= now) & (F.col("until") > F.lit(state.until) if state.until is not None else F.lit(True)))
+    dead = index.where((F.col("until") <= now) & (F.col("until") > stamp(state.until) if state.until is not None else F.lit(True)))
     touched = parents.select("scope", "key").unionByName(dead.select("scope", "key")).distinct()
     # the log of the batch: openings at load, arrivals for those who wait, last deletions
     waiting = _plus(state.pending, opened).alias("w")
     born = index.select(F.col("scope").alias("_s"), F.col("key").alias("_k"), "since", "until")
     met = waiting.join(born, (F.col("scope") == F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("since") > F.col("at")) & (F.col("since") <= now))
     resolved = met.groupBy("ref_id", "scope", "key").agg(F.min("since").alias("at"))
-    probe = every.join(touched, ["scope", "key"], "left_semi").select("ref_id", "scope", "key", now.cast("timestamp_ntz").alias("at"))
+    probe = every.join(touched, ["scope", "key"], "left_semi").select("ref_id", "scope", "key", now.alias("at"))
     lost = unmatched(probe, index)
     ends = dead.groupBy("scope", "key").agg(F.max("until").alias("at"))
     reopened = lost.drop("at").join(ends, ["scope", "key"])
     event = lambda df, name: df.select("ref_id", "scope", "key", "at", F.lit(name).alias("event"))
     log = _plus(state.log, event(opened, "opened").unionByName(event(resolved, "resolved")).unionByName(event(reopened, "reopened")))
     log = log.distinct()
-    still = unmatched(_plus(state.pending, opened).drop("at").withColumn("at", now.cast("timestamp_ntz")), index)
+    still = unmatched(_plus(state.pending, opened).drop("at").withColumn("at", now), index)
     pending = still.select("ref_id", "scope", "key").unionByName(reopened.select("ref_id", "scope", "key")).distinct()
-    pending = pending.withColumn("at", now.cast("timestamp_ntz")).select(*REF)
+    pending = pending.withColumn("at", now).select(*REF)
     new = Orphans(index, every, pending, log, until)
     if keep:
         new = replace(new, **{n: written(getattr(new, n), f"orphans-{n}") for n in ("parents", "refs", "pending", "log")})
