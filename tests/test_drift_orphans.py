@@ -110,3 +110,31 @@ def test_orphans_are_brute_force_in_any_batches(spark):
     assert sum(r.opened for r in c) == len(want) and any(r.resolved for r in c) and any(r.reopened for r in c)
     assert orphans.advance(orphans.Orphans(), rs.limit(0), ps.limit(0), keep=False).log.count() == 0
     assert len(opened(orphans.advance(orphans.Orphans(), rs, ps.limit(0), keep=False))) == 120
+
+
+def test_orphan_events_are_brute_force_in_any_batches(spark):
+    rng = random.Random(5)
+    at = lambda n: T0 + dt.timedelta(days=n)
+    parents = [(1, rng.randint(1, 9), at(a), rng.choice([None, at(a + rng.randint(0, 12))])) for a in (rng.randint(0, 60) for _ in range(45))]
+    parents += [(1, 20, at(0), at(5)), (1, 21, at(0), at(20)), (1, 21, at(30), None), (1, 22, at(0), at(20)), (1, 22, at(20), at(40))]
+    refs = [(n, 1, rng.randint(1, 9), at(rng.randint(0, 60))) for n in range(60)] + [(100, 1, 20, at(9)), (101, 1, 21, at(9)), (102, 1, 22, at(9))]
+    lives = lambda k, t: any(p[1] == k and p[2] <= t and (p[3] is None or p[3] > t) for p in parents)
+    want = set()
+    for r, _, k, t in refs:
+        days = [d for d in map(at, range(90)) if d >= t]
+        if not lives(k, t):
+            want.add((r, t, "opened"))
+        for a, b in zip(days, days[1:]):
+            if lives(k, a) != lives(k, b):
+                want.add((r, b, "resolved" if lives(k, b) else "reopened"))
+    assert {(101, at(20), "reopened"), (101, at(30), "resolved"), (102, at(40), "reopened"), (100, at(9), "opened")} <= want
+    R, P = "ref_id bigint, scope bigint, key bigint, at timestamp_ntz", "scope bigint, key bigint, since timestamp_ntz, until timestamp_ntz"
+    events = lambda s: sorted((r.ref_id, r.at, r.event) for r in s.log.collect())
+    assert events(orphans.advance(orphans.Orphans(), spark.createDataFrame(refs, R), spark.createDataFrame(parents, P), keep=False)) == sorted(want)
+    state, before = orphans.Orphans(), dt.datetime(2000, 1, 1)
+    again = [(102, 1, 22, at(45))]  # delivered again, with no parent alive
+    for cut in (at(20), at(41), dt.datetime(2030, 1, 1)):
+        mine = lambda xs, k: [x for x in xs if before < x[k] <= cut]  # noqa: B023, E731
+        state = orphans.advance(state, spark.createDataFrame(mine(refs + again, 3), R), spark.createDataFrame(mine(parents, 2), P), cut)
+        before = cut
+    assert events(state) == sorted(want)

@@ -2,16 +2,18 @@
 
 The state is three keyed tables: the parent index (each key with the times from and until which a record
 with it lives), the references seen so far, and the pending orphans. A batch of new rows changes it so:
-new references probe the parent index as of their own time; arriving parents resolve the orphans that
-wait for their key; deletions reopen references whose last living parent went. Only keys that a batch
-touches are probed again. Tables are keyed joins with conditions on time: no group is collected, and
-AQE may split the partition of a hot key, as semi and anti joins allow that on the reference's side.
+new references probe the parent index as of their own time; parents that arrive at a key without a living
+one resolve the references that were there before; the end of the last living parent reopens them.
+Tables are keyed joins with conditions on time: no group is collected, and AQE may split the partition of
+a hot key, as these joins allow that on the reference's side.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -47,38 +49,54 @@ def unmatched(refs: DataFrame, parents: DataFrame) -> DataFrame:
     return refs.join(p, (F.col("scope") == F.col("_s")) & (F.col("key") == F.col("_k")) & lives, "left_anti")
 
 
+def turns(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``scope, key, turn``: the times at which keys get a living parent, and at which they lose the last one.
+
+    A parent that follows at the very end of another leaves no gap; one that ends before it starts never lives.
+    """
+    lived = parents.where((F.col("until").isNull() | (F.col("until") > F.col("since"))) & F.col("scope").isNotNull() & F.col("key").isNotNull())
+    p = lived.select(F.col("scope").alias("_s"), F.col("key").alias("_k"), F.col("since").alias("_a"), F.col("until").alias("_b"))
+    same = (F.col("scope") == F.col("_s")) & (F.col("key") == F.col("_k"))
+    just_before = (F.col("_a") < F.col("turn")) & (F.col("_b").isNull() | (F.col("_b") >= F.col("turn")))
+    then = (F.col("_a") <= F.col("turn")) & (F.col("_b").isNull() | (F.col("_b") > F.col("turn")))
+    starts = lived.select("scope", "key", F.col("since").alias("turn")).distinct().join(p, same & just_before, "left_anti")
+    ends = lived.where("until is not null").select("scope", "key", F.col("until").alias("turn")).distinct().join(p, same & then, "left_anti")
+    return starts, ends
+
+
 def advance(state: Orphans, refs: DataFrame, parents: DataFrame, until: dt.datetime | None = None, keep: bool = True) -> Orphans:
     """The state after a batch of new references and parents, as known at ``until`` (null: at the end).
 
     Batches must come in order of time: references and parents of a batch carry times at or before
     ``until`` and after that of the batch before; ``until`` of a parent may lie in the future. A record
-    that is delivered again counts at its earliest time. ``keep`` writes the new state to the shared
-    folder, so that the next batch starts from tables and not from the history of all batches.
+    that is delivered again counts at its earliest time. The log has an opening at a reference's own time,
+    and after it every time at which its key gets a living parent (resolved) or loses the last one
+    (reopened), so that any split into batches gives the same log. ``keep`` writes the new state to the
+    shared folder, so that the next batch starts from tables and not from the history of all batches.
     """
     stamp = lambda t: F.lit(t.isoformat()).cast("timestamp_ntz")  # noqa: E731, as text, so that no time zone comes in
     now = stamp(until or dt.datetime(9999, 12, 31))
     refs = refs.groupBy("ref_id", "scope", "key").agg(F.min("at").alias("at"))
+    if state.refs is not None:
+        r, known = refs.alias("r"), state.refs.alias("k")
+        refs = r.join(known, reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in REF[:3]]), "left_anti")
     parents = parents.groupBy("scope", "key", "until").agg(F.min("since").alias("since")).select(*PARENT)
     index = _plus(state.parents, parents)
     opened = unmatched(refs, index).select(*REF)
     every = _plus(state.refs, refs.select(*REF))
-    dead = index.where((F.col("until") <= now) & (F.col("until") > stamp(state.until) if state.until is not None else F.lit(True)))
-    touched = parents.select("scope", "key").unionByName(dead.select("scope", "key")).distinct()
-    # the log of the batch: openings at load, arrivals for those who wait, last deletions
-    waiting = _plus(state.pending, opened).alias("w")
-    born = index.select(F.col("scope").alias("_s"), F.col("key").alias("_k"), "since", "until")
-    met = waiting.join(born, (F.col("scope") == F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("since") > F.col("at")) & (F.col("since") <= now))
-    resolved = met.groupBy("ref_id", "scope", "key").agg(F.min("since").alias("at"))
-    probe = every.join(touched, ["scope", "key"], "left_semi").select("ref_id", "scope", "key", now.alias("at"))
-    lost = unmatched(probe, index)
-    ends = dead.groupBy("scope", "key").agg(F.max("until").alias("at"))
-    reopened = lost.drop("at").join(ends, ["scope", "key"])
+    new_turn = (F.col("turn") <= now) & (F.col("turn") > stamp(state.until) if state.until is not None else F.lit(True))
+
+    def turned(at: DataFrame) -> DataFrame:
+        t = at.where(new_turn).select(F.col("scope").alias("_s"), F.col("key").alias("_k"), "turn")
+        met = every.join(t, (F.col("scope") == F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("turn") > F.col("at")))
+        return met.select("ref_id", "scope", "key", F.col("turn").alias("at"))
+
+    resolved, reopened = map(turned, turns(index))
     event = lambda df, name: df.select("ref_id", "scope", "key", "at", F.lit(name).alias("event"))
     log = _plus(state.log, event(opened, "opened").unionByName(event(resolved, "resolved")).unionByName(event(reopened, "reopened")))
     log = log.distinct()
-    still = unmatched(_plus(state.pending, opened).drop("at").withColumn("at", now), index)
-    pending = still.select("ref_id", "scope", "key").unionByName(reopened.select("ref_id", "scope", "key")).distinct()
-    pending = pending.withColumn("at", now).select(*REF)
+    waiting = _plus(state.pending, opened).unionByName(reopened).select("ref_id", "scope", "key").distinct()
+    pending = unmatched(waiting.withColumn("at", now), index).select(*REF)
     new = Orphans(index, every, pending, log, until)
     if keep:
         new = replace(new, **{n: written(getattr(new, n), f"orphans-{n}") for n in ("parents", "refs", "pending", "log")})
@@ -86,7 +104,7 @@ def advance(state: Orphans, refs: DataFrame, parents: DataFrame, until: dt.datet
 
 
 def counts(log: DataFrame, table: str, period: str = "month") -> DataFrame:
-    """Snapshot of the log: ``source_table, period, opened, resolved, reopened`` counts of references."""
+    """Snapshot of the log: ``source_table, period, opened, resolved, reopened`` counts of events."""
     return (
         log.groupBy(F.lit(table).alias("source_table"), F.date_trunc(period, F.col("at").cast("timestamp")).cast("timestamp_ntz").alias("period"))
         .agg(*[F.count_if(F.col("event") == e).alias(e) for e in ("opened", "resolved", "reopened")])
