@@ -2,9 +2,16 @@
 
 import datetime as dt
 import math
+import os
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from weftline.operators import profiles as P
+from weftline.plans import problems
+
+FOLDER = os.environ.get("WEFTLINE_TESTDATA", "/root/testdata/sf0.001")
 
 FIELDS = "dataset_id bigint, load_no int, field_id string, field_name string, data_type string, min_value string, max_value string, is_unique boolean, units string, distinct_count bigint, null_count bigint, uniques string, loaded_at timestamp_ntz, row_count int"
 STATS = "dataset_id bigint, load_no int, row_count bigint, loaded_at timestamp_ntz"
@@ -78,3 +85,21 @@ def test_audit(spark):
         (2, "8"): "no listed value in common", (2, "9"): "null share changed", (4, "9"): "null share changed",
     }
     assert P.audit(spark.createDataFrame([], FIELDS), stats.limit(0)).count() == 0
+
+
+def test_each_load_is_compared_with_the_one_before(spark):
+    loads = {1: ["a", "a", "b", None], 2: ["a", "a", "b", None], 4: ["c", "c", "c", "a"], 5: ["a", "c", "c", "c"], None: ["z"]}
+    df = spark.createDataFrame([(k, v) for k, vs in loads.items() for v in vs], "k int, v string")
+    deltas = P.value_counts(df, ["v"], load=F.col("k"))
+    got = {(r.load, r.before): (r.column_name, r.distance, r.gained, r.lost) for r in P.load_changes(deltas).collect()}
+    assert got == {(2, 1): ("v", 0.0, 0, 0), (4, 2): ("v", 0.75, 1, 2), (5, 4): ("v", 0.0, 0, 0)}
+    key = lambda d: sorted((r.column_name, str(r.value), r.n) for r in d.collect())
+    assert key(P.apply_delta(None, deltas)) == key(P.value_counts(df, ["v"]))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_changes_cover_every_column_and_load(spark):
+    got = {(r.table_name, r.column_name): (r.n, r.least, r.most) for r in problems.p3_changes(spark, FOLDER).groupBy("table_name", "column_name").agg(F.count("*").alias("n"), F.min("load").alias("least"), F.max("load").alias("most")).collect()}
+    assert got.keys() == {(t, c) for t, cs in problems.PROFILED_COLUMNS.items() for c in cs.split()}
+    maps = problems.table(spark, FOLDER, "spreadsheet_maps").agg(F.count_distinct("period_no"), F.max("period_no")).first()
+    assert got["spreadsheet_maps", "file_name"][::2] == (maps[0] - 1, maps[1])

@@ -10,7 +10,7 @@ partial sum per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from weftline.functions.ordered import previous
 
@@ -31,43 +31,49 @@ def _as_value(column: Column, kind: T.DataType) -> Column:
     return F.when(F.length(text) > LONG, F.concat(F.substring(text, 1, LONG - 65), F.lit("#"), F.sha2(text, 256))).otherwise(text)
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None, sign: int = 1) -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str] | None = None, sign: int = 1, load: Column | None = None) -> DataFrame:
     """``column_name, column_type, value, n`` of a table: the delta of loading (or, sign -1, unloading) it.
 
     Texts over 256 characters are held as their first 191 characters and a SHA-256 digest, which keeps
     distinct counts exact. Null and NaN count under the value null. An empty table gives no rows.
+    ``load`` tells which load brought a row; then there is one delta per load, with ``load`` as first column.
     """
     columns = df.columns if columns is None else columns
     if not columns:
         raise ValueError("no columns to profile")
-    # by position, as a table may hold one name twice
-    flat = df.toDF(*[f"c{n}" for n in range(len(df.columns))]) if columns == df.columns else df.select(*columns).toDF(*[f"c{n}" for n in range(len(columns))])
-    each = [
-        F.struct(F.lit(name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"), _as_value(F.col(f.name), f.dataType).alias("value"))
-        for name, f in zip(columns, flat.schema.fields)
-    ]
-    rows = flat.select(F.explode(F.array(*each)).alias("x")).select("x.*")
-    return rows.groupBy("column_name", "column_type", "value").agg((F.count("*") * sign).alias("n"))
-
-
-def apply_delta(state: DataFrame | None, *deltas: DataFrame) -> DataFrame:
-    """The state after signed deltas; counts that reach nought leave it."""
+    # by position, as a table may hold one name twice; grouped by number, as names and types in each row would be shuffled
+    by = [load] if load is not None else []
+    own = ["load"] if by else []
+    flat = df.select(*(["*"] if columns == df.columns else columns), *by).toDF(*[f"c{n}" for n in range(len(columns))], *own)
+    fields = flat.schema.fields[: len(columns)]
+    kinds = list(dict.fromkeys((name, f.dataType.simpleString()) for name, f in zip(columns, fields)))
+    each = [F.struct(F.lit(kinds.index((name, f.dataType.simpleString()))).alias("kind"), _as_value(F.col(f.name), f.dataType).alias("value")) for name, f in zip(columns, fields)]
+    rows = flat.select(*own, F.explode(F.array(*each)).alias("x")).select(*own, "x.*")
+    counts = rows.groupBy(*own, "kind", "value").agg((F.count("*") * sign).alias("n"))
+    told = [F.array(*[F.lit(k[i]) for k in kinds])[F.col("kind")].alias(c) for i, c in enumerate(("column_name", "column_type"))]
+    return counts.select(*own, *told, "value", "n")
+
+
+def apply_delta(state: DataFrame | None, *deltas: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The state after signed deltas; counts that reach nought leave it. ``by``: columns that tell tables
+    apart, where one state holds several."""
     out = None
     for d in ([state] if state is not None else []) + list(deltas):
-        out = d.select(*COUNT_COLUMNS) if out is None else out.unionByName(d.select(*COUNT_COLUMNS))
-    return out.groupBy("column_name", "column_type", "value").agg(F.sum("n").alias("n")).where("n != 0")
+        d = d.select(*by, *COUNT_COLUMNS)
+        out = d if out is None else out.unionByName(d)
+    return out.groupBy(*by, "column_name", "column_type", "value").agg(F.sum("n").alias("n")).where("n != 0")
 
 
 INTS = ["tinyint", "smallint", "int", "bigint"]
 FLOATS = ["float", "double"]
 
 
-def profile(counts: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+def profile(counts: DataFrame, patterns: dict[str, str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per column: row, null and distinct counts, null rate, range, entropy in bits, violations.
 
     ``patterns`` gives regular expressions that the values of a column should match; other columns have
     0 violations. A column of nothing but nulls has a null range and entropy 0. Entropy is over the values
-    that aren't null.
+    that aren't null. ``by``: columns that tell tables apart, where the counts are of several.
     """
     ok = F.lit(False)
     for name, pattern in (patterns or {}).items():
@@ -75,7 +81,7 @@ def profile(counts: DataFrame, patterns: dict[str, str] | None = None) -> DataFr
     whole, real = F.expr("try_cast(value AS DECIMAL(38,0))"), F.expr("try_cast(value AS DOUBLE)")
     is_int, is_real = F.col("column_type").isin(INTS), F.col("column_type").isin(FLOATS)
     filled = F.col("value").isNotNull()
-    agg = counts.groupBy("column_name", "column_type").agg(
+    agg = counts.groupBy(*by, "column_name", "column_type").agg(
         F.sum("n").cast("bigint").alias("row_count"),
         F.coalesce(F.sum(F.when(~filled, F.col("n"))), F.lit(0)).cast("bigint").alias("null_count"),
         F.count("value").alias("distinct_count"),
@@ -87,6 +93,7 @@ def profile(counts: DataFrame, patterns: dict[str, str] | None = None) -> DataFr
     )
     full = F.col("row_count") - F.col("null_count")
     return agg.select(
+        *by,
         "column_name",
         "column_type",
         "row_count",
@@ -117,6 +124,31 @@ def distribution_change(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def load_changes(deltas: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``column_name, load, before, distance, gained, lost`` of each load against the load before it.
+
+    ``deltas`` are value counts with the ``load`` that brought them. What is compared is the rows of the
+    two loads, as in ``distribution_change``, not the states after them, which would hold each other's rows.
+    Rows of no known load are in no comparison; the first load has none before it.
+    """
+    keys = [*by, "column_name"]
+    placed = deltas.where("load is not null").select(*keys, "load", "value", "n")
+    order = Window.partitionBy(*keys).orderBy("load")  # the loads of one column, not their rows
+    loads = placed.groupBy(*keys, "load").agg(F.sum("n").alias("total")).where("total != 0")
+    loads = loads.select("*", F.lag("load").over(order).alias("before"), F.lead("load").over(order).alias("after"))
+    # all loads of a value lie in one partition, at most one row for each, so that one shuffle is enough
+    counts = placed.repartition(*keys, "value").groupBy(*keys, "value", "load").agg(F.sum("n").alias("n")).where("n != 0")
+    shares = counts.join(F.broadcast(loads), [*keys, "load"]).withColumn("share", F.col("n") / F.col("total"))
+    of_value = Window.partitionBy(*keys, "value").orderBy("load")
+    was = F.when(F.lag("load").over(of_value) == F.col("before"), F.lag("share").over(of_value))
+    stays = F.coalesce(F.lead("load").over(of_value) == F.col("after"), F.lit(False))
+    both = shares.select(*keys, "load", "before", "after", "share", was.alias("was"), stays.alias("stays"))
+    here = F.struct("load", "before", F.abs(F.col("share") - F.coalesce("was", F.lit(0.0))).alias("d"), F.col("was").isNull().alias("new"), F.lit(False).alias("gone"))
+    next_load = F.struct(F.col("after").alias("load"), F.col("load").alias("before"), F.when(~F.col("stays"), F.abs("share")).alias("d"), F.lit(False).alias("new"), (~F.col("stays")).alias("gone"))
+    sides = both.select(*keys, F.explode(F.array(here, next_load)).alias("x")).select(*keys, "x.*").where("load is not null and before is not null and d is not null")
+    return sides.groupBy(*keys, "load", "before").agg((F.sum("d") / 2).alias("distance"), F.count_if("new").alias("gained"), F.count_if("gone").alias("lost"))
+
+
 # --- audits of recorded profiles ---------------------------------------------------------------
 
 RANGED = ["INTEGER", "FLOAT", "DATETIME"]

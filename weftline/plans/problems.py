@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftline.functions.storage import written
 from weftline.operators import badrows, drift, orphans, profiles
 from weftline.operators.keys import term_list, with_keys
 
@@ -45,9 +46,26 @@ PROFILED = ["cell_references", "spreadsheet_maps", "input_specs", "node_specs",
 PATTERNS = {"input_id": r"^\d+$", "data_type": r"^[A-Za-z]+$", "col_idx": r"^[A-Z]+$", "lang": r"^[a-z]{2}$", "last_updated": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"}
 
 
+# What counts as one load of a table; of the others it is the month of loaded_at, as yyyymm.
+LOADS = {"cell_references": "period_no", "spreadsheet_maps": "period_no", "dataset_stats": "load_no", "field_metadata": "load_no"}
+
+
+def _value_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The signed value counts that each load brought to each column of the large tables, kept in the shared folder."""
+    parts = []
+    for name in PROFILED:
+        rows = table(spark, folder, name)
+        columns = rows.columns
+        if name == "cell_references":
+            rows = rows.join(table(spark, folder, "spreadsheet_maps").groupBy("map_id").agg(F.min("period_no").alias("period_no")), "map_id", "left")
+        load = F.col(LOADS[name]) if name in LOADS else F.year("loaded_at") * 100 + F.month("loaded_at")
+        parts.append(profiles.value_counts(rows, columns, load=load.cast("int")).select(F.lit(name).alias("table_name"), "*"))
+    return written(reduce(DataFrame.unionByName, parts), "value-counts")
+
+
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [profiles.profile(profiles.value_counts(table(spark, folder, name)), PATTERNS).select(F.lit(name).alias("table_name"), "*") for name in PROFILED]
-    return reduce(DataFrame.unionByName, parts)
+    by = ("table_name",)
+    return profiles.profile(profiles.apply_delta(None, _value_counts(spark, folder), by=by), PATTERNS, by)
 
 
 def p3_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,17 +101,11 @@ def _counts_sql() -> str:
 
 
 def p3_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Distance of every column of cell_references between the first files of the series and all of them.
+    """Distance of every column of the large tables between each load and the load before.
 
-    The state after the later loads is the one before them plus their signed counts.
+    A load is a period of the files, a load_no of the data sets, or the month of loaded_at.
     """
-    cells = table(spark, folder, "cell_references")
-    maps = table(spark, folder, "spreadsheet_maps").select("map_id", "period_no").distinct()
-    columns = ["table_id", "col_idx", "data_type", "zone_kind", "semantic_name"]
-    rows = cells.join(maps, "map_id").select("period_no", *columns)
-    before = profiles.value_counts(rows.where("period_no <= 5"), columns)
-    after = profiles.apply_delta(before, profiles.value_counts(rows.where("period_no > 5"), columns))
-    return profiles.distribution_change(before, after)
+    return profiles.load_changes(_value_counts(spark, folder), ("table_name",))
 
 
 # --- 5: schemas that drift --------------------------------------------------------------------------
