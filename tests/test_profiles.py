@@ -103,3 +103,14 @@ def test_changes_cover_every_column_and_load(spark):
     assert got.keys() == {(t, c) for t, cs in problems.PROFILED_COLUMNS.items() for c in cs.split()}
     maps = problems.table(spark, FOLDER, "spreadsheet_maps").agg(F.count_distinct("period_no"), F.max("period_no")).first()
     assert got["spreadsheet_maps", "file_name"][::2] == (maps[0] - 1, maps[1])
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_every_text_column_is_checked(spark):
+    got = {(r.table_name, r.column_name): r for r in problems.p3_profile(spark, FOLDER).collect()}
+    assert {k for k, r in got.items() if r.violations is not None} == {k for k, r in got.items() if r.column_type == "string"}
+    formats = [r.file_format for r in problems.table(spark, FOLDER, "input_specs").select("file_format").collect()]
+    assert got["input_specs", "file_format"].violations == sum(f is not None and f != f.upper() for f in formats)
+    odd = spark.createDataFrame([("csv", "0x10", " \t", "a"), ("CSV", "1e3", "a\x00", "b")], "file_format string, min_value string, label string, other string")
+    p = by_name(P.profile(P.value_counts(odd), problems.PATTERNS))
+    assert [p[c].violations for c in odd.columns] == [1, 1, 2, None]

@@ -72,12 +72,15 @@ def profile(counts: DataFrame, patterns: dict[str, str] | None = None, by: tuple
     """One row per column: row, null and distinct counts, null rate, range, entropy in bits, violations.
 
     ``patterns`` gives regular expressions that the values of a column should match; other columns have
-    0 violations. A column of nothing but nulls has a null range and entropy 0. Entropy is over the values
+    null violations, as none were looked for. A column of nothing but nulls has a null range and entropy 0. Entropy is over the values
     that aren't null. ``by``: columns that tell tables apart, where the counts are of several.
     """
     ok = F.lit(False)
+    names: dict[str, list[str]] = {}
     for name, pattern in (patterns or {}).items():
-        ok = ok | ((F.col("column_name") == name) & F.col("value").isNotNull() & ~F.col("value").rlike(pattern))
+        names.setdefault(pattern, []).append(name)
+    for pattern, own in names.items():
+        ok = ok | (F.col("column_name").isin(own) & F.col("value").isNotNull() & ~F.col("value").rlike(pattern))
     whole, real = F.expr("try_cast(value AS DECIMAL(38,0))"), F.expr("try_cast(value AS DOUBLE)")
     is_int, is_real = F.col("column_type").isin(INTS), F.col("column_type").isin(FLOATS)
     filled = F.col("value").isNotNull()
@@ -102,7 +105,7 @@ def profile(counts: DataFrame, patterns: dict[str, str] | None = None, by: tuple
         "distinct_count",
         *[F.coalesce(F.col(f"{n}_i").cast("string"), F.col(f"{n}_f").cast("string"), F.col(f"{n}_s")).alias(f"{n}_value") for n in ("min", "max")],
         F.when(full > 0, F.greatest(F.lit(0.0), F.log2(full.cast("double")) - F.col("n_log_n") / full)).otherwise(0.0).alias("entropy"),
-        "violations",
+        F.when(F.col("column_name").isin(list(patterns or {})), F.col("violations")).alias("violations"),
     )
 
 

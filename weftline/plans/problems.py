@@ -46,6 +46,24 @@ PROFILED = ["cell_references", "spreadsheet_maps", "input_specs", "node_specs",
 PATTERNS = {"input_id": r"^\d+$", "data_type": r"^[A-Za-z]+$", "col_idx": r"^[A-Z]+$", "lang": r"^[a-z]{2}$", "last_updated": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"}
 
 
+SNAKE, DIGITS, SMALL, LARGE = r"^[a-z]+(_[a-z]+)*\z", r"^[0-9]+\z", r"^[a-z]+\z", r"^[A-Z]+\z"
+# Free text: something to be seen, and no control or replacement characters but tabs and line ends.
+READABLE = r"^(?=[\s\S]*?[^\s\p{Z}])[^\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}]*+\z"
+PATTERNS |= dict.fromkeys(["semantic_name", "detected_name", "label", "static_value", "raw_line", "text", "target_text"], READABLE)
+PATTERNS |= dict.fromkeys(["node_type", "port_name", "dataset_name", "field_name", "source"], SNAKE)
+PATTERNS |= dict.fromkeys(["node_id", "field_id"], DIGITS) | {"zone_kind": SMALL} | dict.fromkeys(["file_format", "port_type"], LARGE)
+PATTERNS |= dict.fromkeys(["min_value", "max_value"], profiles.REAL_PATTERN)
+PATTERNS |= {
+    "table_id": r"^[a-z]+_[0-9]+\z",
+    "file_name": r"^[a-z]+(_[a-z]+)*_[0-9]+\.[a-z]+\z",
+    "location_path": r"^([a-z]+/)+[a-z0-9_]+\.[a-z0-9]+\z",
+    "url": r"^https?://[^\s/]+(/\S*)?\z",
+    "units": r"^\S+\z",
+    "uniques": r"^[^,]+(,[^,]+)*\z",
+    "target_lang": PATTERNS["lang"],
+}
+
+
 # What counts as one load of a table; of the others it is the month of loaded_at, as yyyymm.
 LOADS = {"cell_references": "period_no", "spreadsheet_maps": "period_no", "dataset_stats": "load_no", "field_metadata": "load_no"}
 
