@@ -114,3 +114,12 @@ def test_every_text_column_is_checked(spark):
     odd = spark.createDataFrame([("csv", "0x10", " \t", "a"), ("CSV", "1e3", "a\x00", "b")], "file_format string, min_value string, label string, other string")
     p = by_name(P.profile(P.value_counts(odd), problems.PATTERNS))
     assert [p[c].violations for c in odd.columns] == [1, 1, 2, None]
+
+
+def test_long_values_are_whole(spark):
+    texts = ["x" * 300 + end for end in ("a", "b", "y!")]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    p = by_name(P.profile(P.apply_delta(None, P.value_counts(df)), {"v": "^x+[a-z]$"}))["v"]
+    assert (p.min_value, p.max_value, p.distinct_count, p.violations) == (min(texts), max(texts), 3, 1)
+    less = P.apply_delta(P.value_counts(df), P.value_counts(df.where("v like '%!'"), sign=-1))
+    assert by_name(P.profile(less))["v"].max_value == texts[1]

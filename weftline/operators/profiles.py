@@ -15,27 +15,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from weftline.functions.ordered import previous
 
 COUNT_COLUMNS = ["column_name", "column_type", "value", "n"]
-LONG = 256
 
 
 def _as_value(column: Column, kind: T.DataType) -> Column:
-    """The text of a value; floats without NaN, nested values as JSON, long texts as head and digest."""
+    """The text of a value; floats without NaN, nested values as JSON."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         column = F.when(~F.isnan(column), column)
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        text = F.when(column.isNotNull(), F.to_json(F.struct(column.alias("v"))))
-    elif isinstance(kind, T.BinaryType):
-        text = F.hex(column)
-    else:
-        text = column.cast("string")
-    return F.when(F.length(text) > LONG, F.concat(F.substring(text, 1, LONG - 65), F.lit("#"), F.sha2(text, 256))).otherwise(text)
+        return F.when(column.isNotNull(), F.to_json(F.struct(column.alias("v"))))
+    return F.hex(column) if isinstance(kind, T.BinaryType) else column.cast("string")
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, sign: int = 1, load: Column | None = None) -> DataFrame:
     """``column_name, column_type, value, n`` of a table: the delta of loading (or, sign -1, unloading) it.
 
-    Texts over 256 characters are held as their first 191 characters and a SHA-256 digest, which keeps
-    distinct counts exact. Null and NaN count under the value null. An empty table gives no rows.
+    Texts are held whole, however long, as ranges and patterns are of the whole text. Null and NaN count under the value null. An empty table gives no rows.
     ``load`` tells which load brought a row; then there is one delta per load, with ``load`` as first column.
     """
     columns = df.columns if columns is None else columns
