@@ -28,3 +28,9 @@ def test_ties_mean_nothing():
 def test_words_and_edits():
     assert words("TotalÉnergieX2 [kWh]") == ["total", "energie", "x", "2"]
     assert edits("abcd", "abdc", 2) == 1 and edits("abc", "xyz", 2) == 3 and edits("kitten", "sitting", 3) == 3
+
+
+def test_word_orders_and_run_together_abbreviations_of_any_number_of_words():
+    r = TermResolver([(1, "useful_life", ["durée_de_vie_de_l'actif"]), (2, "mean_time_between_two_failures", [])])
+    assert r.resolve("actif_l_de_vie_de_durée") == 1 and r.resolve("failures between two mean time") == 2
+    assert r.resolve("mntimbettwofail") == 2

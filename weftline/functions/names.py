@@ -80,6 +80,7 @@ class TermResolver:
         self.exact = {t: n for n, t, _ in terms}
         self.compact: dict[str, set[int]] = defaultdict(set)
         self.orders: dict[str, set[int]] = defaultdict(set)
+        self.bags: dict[tuple[str, ...], set[int]] = defaultdict(set)
         self.canon: list[tuple[int, list[str]]] = []
         self.parts: dict[str, list[tuple[str, ...]]] = defaultdict(list)
         for n, term, aliases in terms:
@@ -89,6 +90,7 @@ class TermResolver:
                     continue
                 self.compact["".join(w)].add(n)
                 self.parts["".join(w)].append(tuple(w))
+                self.bags[tuple(sorted(w))].add(n)
                 if k == 0:
                     self.canon.append((n, w))
                 if len(w) <= 4:
@@ -150,7 +152,8 @@ class TermResolver:
 
     def _similar(self, w: list[str]) -> int:
         text = "".join(w)
-        for ids in (self.orders.get(text, set()), self._cut(text), self._abbreviated(w), self._mistyped(text, w)):
+        # the same words in any order, however many; permutations find short names without borders
+        for ids in (self.bags.get(tuple(sorted(w)), set()) | self.orders.get(text, set()), self._cut(text), self._abbreviated(w), self._mistyped(text, w)):
             if ids:
                 return next(iter(ids)) if len(ids) == 1 else NOTHING
         return NOTHING
@@ -164,7 +167,7 @@ class TermResolver:
             if len(w) == len(full):
                 if max(map(len, w)) >= 2 and (all(map(shortens, w, full)) or len(w) > 1 and any(all(map(shortens, p, full)) for p in permutations(w))):
                     out.add(n)
-            elif len(w) == 1 and 1 < len(full) <= 4 and self._runs(w[0], full):
+            elif len(w) == 1 and 1 < len(full) and self._runs(w[0], full):
                 out.add(n)
         return out
 
@@ -176,12 +179,10 @@ class TermResolver:
             return len(full) > 2 and all(a == b[0] for a, b in zip(text, full))
         if len(full) == 1:
             return shortens(text, full[0])
-        return any(shortens(text[:k], full[0]) and self._tail(text[k:], full[1:]) for k in range(2, len(text)))
-
-    def _tail(self, text: str, full: list[str]) -> bool:
-        if len(full) == 1:
-            return shortens(text, full[0])
-        return any(shortens(text[:k], full[0]) and self._tail(text[k:], full[1:]) for k in range(1, len(text)))
+        ends = {k for k in range(2, min(len(text) - 1, len(full[0])) + 1) if shortens(text[:k], full[0])}
+        for word in full[1:]:
+            ends = {b for a in ends for b in range(a + 1, min(len(text), a + len(word)) + 1) if shortens(text[a:b], word)}
+        return len(text) in ends
 
     @staticmethod
     def _spread(w: list[str], full: tuple[str, ...]) -> bool:
