@@ -43,3 +43,9 @@ def test_query(spark, sql, name):
         assert sorted(cols) == sorted(df.columns)
         want = sorted(repr(tuple(norm(r[cols.index(c)]) for c in sorted(cols))) for r in got.fetchall())
         assert sorted(repr(tuple(norm(r[c]) for c in sorted(cols))) for r in rows) == want
+
+
+def test_too_many_hints_are_an_error(spark, tmp_path):
+    spark.range(51).selectExpr("id AS event_id", "concat('kind ', id) AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    with pytest.raises(ValueError, match="50"):
+        entry.queries()["l_hinted"](spark, str(tmp_path))

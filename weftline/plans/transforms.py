@@ -399,7 +399,9 @@ def l_labels(s, d):
 @query("SELECT event_id, h AS event_type, (event_type = h)::INT AS value FROM (SELECT event_id, event_type FROM events) e, (SELECT event_type AS h FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2)")
 def l_hinted(s, d):
     e = t(s, d, "events").select("event_id", F.concat(F.col("event_type"), F.lit(" ")).alias("event_type"))
-    kinds = sorted(r.event_type for r in t(s, d, "events").select("event_type").distinct().limit(50).collect())  # event types, a handful
+    kinds = sorted(r.event_type for r in t(s, d, "events").select("event_type").distinct().limit(51).collect())  # event types, a handful
+    if len(kinds) > 50:
+        raise ValueError("more than 50 event types: too many to be hints")
     return labels.nlp_binarize_labels_hinted(e, "event_type", kinds, 2)
 
 
