@@ -177,14 +177,19 @@ def corpus(rng, n):
     return out, y
 
 
-def test_held_out_accuracy():
-    rng = random.Random(6)
-    texts, y = corpus(rng, 400)
-    noisy = [1 - v if rng.random() < 0.04 else v for v in y]
-    model = harmful.train(texts, noisy, corpus(rng, 100)[0], landmarks=80)
+def tables(spark, texts, y, extra=()):
+    docs = spark.createDataFrame([(n, t, "web" if n % 2 else None, "x") for n, t in enumerate(texts)] + list(extra), "doc_id bigint, text string, source string, score string")
+    reviews = spark.createDataFrame([(n, int(v), "r", None) for n, v in enumerate(y)], "doc_id bigint, is_harmful int, reviewer string, labelled_at timestamp_ntz")
+    return docs, reviews
+
+
+def test_classifier_finds_held_out_insults_despite_wrong_labels(spark):
+    rng = random.Random(4)
+    texts, y = corpus(rng, 300)
+    noisy = [1 - v if rng.random() < 0.06 else v for v in y]
+    model = harmful.train(*tables(spark, texts, noisy), landmarks=80)
     more, truth = corpus(rng, 400)
-    found = np.array(model.score(more)) > 0
-    truth = np.array(truth, bool)
+    found, truth = np.array(model.score(more)) > 0, np.array(truth, bool)
     assert (found & truth).sum() / max(1, found.sum()) > 0.9 and (found & truth).sum() / truth.sum() > 0.9
     assert model.score([None, "", "  \n"]) == [-1.0] * 3 and len(model.score(["word " * 100_000])) == 1
 
@@ -200,16 +205,25 @@ def test_folded_machine_is_the_kernel():
     assert np.allclose(k, k.T, atol=1e-5) and k[0, 2] > k[0, 1]
 
 
-def test_harmful_tables(spark):
+def test_landmarks_lie_apart():
+    strings = [harmful.normal(x) for x in ["the gate is open"] * 3 + ["the gate is open now", "du bist dumm"]]
+    assert len(harmful.spread(strings, 5)) == 3 and set(harmful.spread(strings, 2)) >= {harmful.normal("du bist dumm")}
+
+
+def test_harmful_tables(spark, tmp_path):
     texts, y = corpus(random.Random(8), 60)
-    docs = spark.createDataFrame([(n, t, "web" if n % 2 else None, "x") for n, t in enumerate(texts)] + [(98, None, None, None), (99, "", "web", None)], "doc_id bigint, text string, source string, score string")
-    reviews = spark.createDataFrame([(n, v, "r", None) for n, v in enumerate(y[:50])] + [(0, 1 - y[0], "s", None), (97, 1, "r", None), (1, None, "q", None)], "doc_id bigint, is_harmful int, reviewer string, labelled_at timestamp_ntz")
-    t, labels, rest = harmful.labelled_sample(docs, reviews)
-    assert len(t) == 49 and len(rest) == 11
-    model = harmful.train(t, labels, rest, landmarks=20)
+    docs, reviews = tables(spark, texts, y[:50], [(98, None, None, None), (99, "", "web", None)])
+    reviews = reviews.union(spark.createDataFrame([(0, 1 - y[0], "s", None), (97, 1, "r", None), (1, None, "q", None)], reviews.schema))
+    cut = harmful.labelled_sentences(docs, reviews)
+    assert cut.select("doc_id").distinct().count() == 49 and harmful.labelled_sentences(docs, reviews, 10).select("doc_id").distinct().count() == 10
+    key = str(tmp_path).replace("/", "-")
+    model = harmful.saved_model(docs, reviews, key)
+    again = harmful.saved_model(docs.limit(0), reviews, key)  # read, not trained
+    assert (model.weights == again.weights).all() and model.threshold == again.threshold
     got = harmful.score_documents(docs, model)
     assert got.count() == 62 and {r.doc_id: r.score for r in got.where("doc_id > 97").collect()} == {98: -1.0, 99: -1.0}
     r = {x.source: x.documents for x in harmful.rates(got).collect()}
     assert r == {None: 31, "web": 31}
     assert harmful.score_documents(docs.limit(0), model).count() == 0
-    assert harmful.train(["x"], [1]).score(["x"])[0] <= 0 and harmful.train([], []).score(["x"])[0] <= 0
+    one = tables(spark, ["x"], [1])
+    assert harmful.train(*one).score(["x"])[0] <= 0 and harmful.train(one[0], one[1].limit(0)).score(["x"])[0] <= 0

@@ -8,7 +8,9 @@ trained machine folds into one weight per hashed subsequence, and scoring a text
 its places, vectorised over all texts of an Arrow batch, whatever the number of landmarks.
 
 Labels are of whole documents, and one sentence makes a document harmful. Training therefore repeats: fit,
-let the highest sentence of each harmful document stand for it, fit again.
+let the highest sentence of each harmful document stand for it, fit again. It runs in tasks on the workers:
+one pass cuts labelled documents into sentences, one fills the kernel between sentences and landmarks, and
+each fold's machine is a task. Only labels train it; texts without one take no part.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftline.functions.storage import shared_folder, written
+
 BITS = 18
 SIZE = 1 << BITS
 DECAY = 0.6
@@ -30,10 +34,15 @@ SPAN3, SPAN4 = 5, 6
 PATTERNS = [(0, *c) for c in combinations(range(1, SPAN3), 2)] + [(0, *c) for c in combinations(range(1, SPAN4), 3)]
 WEIGHTS = np.array([DECAY ** (p[-1] + 1 - len(p)) for p in PATTERNS], np.float32)
 PAD = SPAN4
-MAX_LABELLED = 3_000
-MAX_BACKGROUND = 3_000
-LANDMARKS = 400
-BACKGROUND_TRUST = 0.5
+#: Parameters of training: most labelled documents, landmarks, folds, cost of the machine, rounds of witnesses.
+MAX_LABELLED = 20_000
+LANDMARKS = 1_000
+FOLDS = 3
+COST, REPEATS = 30.0, 3
+#: Power of the kernel that makes a landmark near; weight of other sentences of harmful documents.
+NEAR, OTHERS = 12, 0.3
+#: Held-out scores beyond which a label counts as wrong.
+DOUBT, SURE = 0.2, 0.3
 #: Harmless documents are so many times rarer among reviewed ones than elsewhere.
 RARER = 4
 
@@ -136,7 +145,7 @@ def fold(f: Features, coefficients: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 25) -> np.ndarray:
+def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 15) -> np.ndarray:
     """A linear machine with squared hinge loss, by Newton steps; the last coefficient is the offset."""
     z = np.hstack([z, np.ones((len(z), 1))])
     w = np.zeros(z.shape[1])
@@ -149,11 +158,98 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds:
         gradient = ridge @ w - 2 * c * (a.T @ (b * y[on] * margin[on]))
         step = np.linalg.solve(ridge + 2 * c * (a.T * b) @ a, gradient)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
 
+def spread(strings: list[str], many: int) -> list[str]:
+    """``many`` of the strings that lie far apart: each next one is the worst explained by those before
+    (the pivots of an incomplete Cholesky factor of the kernel)."""
+    f = features(strings)
+    k = gram(f, f)
+    k = (k + k.T) / 2
+    left = k.diagonal().copy()
+    factor = np.zeros((len(k), min(many, len(k))))
+    picked: list[int] = []
+    for n in range(factor.shape[1]):
+        i = int(np.argmax(left))
+        if left[i] < 1e-3:
+            break
+        picked.append(i)
+        factor[:, n] = (k[:, i] - factor[:, :n] @ factor[i, :n]) / np.sqrt(left[i])
+        left = np.maximum(left - factor[:, n] ** 2, 0)
+        left[picked] = 0
+    return [strings[i] for i in picked]
+
+
+@dataclass
+class Sentences:
+    """Distinct sentences of labelled documents: their kernel with the landmarks, and where they occur."""
+
+    kernel: np.ndarray  # sentences x landmarks
+    item: np.ndarray  # the sentence of each occurrence
+    owner: np.ndarray  # its document, numbered from 0
+    y: np.ndarray  # per document
+    trust: np.ndarray  # per document; labels that seem wrong have 0
+
+    def highest(self, score: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.y), -1.0)
+        np.maximum.at(out, self.owner, score[self.item])
+        return out
+
+    def rates(self, use: np.ndarray) -> np.ndarray:
+        """How often documents that hold something like a sentence are harmful, by the landmarks near it."""
+        near = np.maximum(self.kernel, 0) ** NEAR
+        near /= near.sum(1, keepdims=True) + 1e-12
+        on = use[self.owner]
+        bad = np.bincount(self.item[on], self.y[self.owner[on]].astype(float), len(near))
+        both = np.bincount(self.item[on], minlength=len(near))
+        return near @ ((near.T @ bad + 2 * self.y[use].mean()) / (near.T @ both + 2))
+
+
+def fit(s: Sentences, use: np.ndarray, root: np.ndarray, c: float = COST, repeats: int = REPEATS) -> tuple[np.ndarray, np.ndarray]:
+    """The machine over the landmarks' space from the documents in ``use``, and the scores of all sentences.
+
+    Labels are of documents: one sentence, the witness, makes a document harmful. At first that is the one
+    whose like is most often in harmful documents, later the one that the machine puts highest. A sentence
+    that is as often in harmless documents is no witness. Other sentences of harmful documents that score
+    as harmless count as such, with less weight.
+    """
+    use = use & (s.trust > 0)
+    n = len(s.kernel)
+    z = s.kernel @ root
+    score = s.rates(use)
+    w = np.zeros(z.shape[1] + 1)
+    harmful, harmless = (s.y & use)[s.owner], (~s.y & use)[s.owner]
+    for turn in range(repeats):
+        own = score[s.item]
+        bad = np.bincount(s.item[harmful & (own >= s.highest(score)[s.owner] - 1e-12)], minlength=n).astype(float)
+        good = np.bincount(s.item[harmless], minlength=n).astype(float)
+        bad[good >= bad] = 0
+        if turn:
+            good += OTHERS * np.bincount(s.item[harmful & (own < 0)], minlength=n)
+        bad, good = np.minimum(bad, 3), np.minimum(good, 3)  # a sentence counts no more for being repeated often
+        if not bad.any() or not good.any():
+            return w - np.eye(len(w))[-1], score * 0 - 1
+        good *= min(1.0, 3 * bad.sum() / good.sum())
+        sides = [bad > 0, good > 0]
+        y = np.concatenate([np.ones(sides[0].sum()), -np.ones(sides[1].sum())])
+        w = _machine(np.vstack([z[k] for k in sides]), y, np.concatenate([bad[sides[0]], good[sides[1]]]), c)
+        score = z @ w[:-1] + w[-1]
+    return w, score
+
+
+def border(y: np.ndarray, held: np.ndarray) -> float:
+    """The threshold of the best F1 on scores by models that haven't seen the documents; harmless ones weigh
+    RARER times, as reviews prefer suspicious texts. The middle of the best, smoothed stretch is taken."""
+    grid = np.linspace(-0.8, 0.8, 65)
+    hit, false = np.array([(y & (held > t)).sum() for t in grid]), np.array([(~y & (held > t)).sum() for t in grid])
+    f1 = 2 * hit / np.maximum(1, hit + RARER * false + y.sum())
+    smooth = np.convolve(np.pad(f1, 4, "edge"), np.ones(9) / 9, "valid")
+    return float(np.mean(grid[smooth >= smooth.max() - 1e-9]))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -174,133 +270,141 @@ class Model:
         return out.tolist()
 
 
-def _landmarks(strings: list[str], y: np.ndarray, many: int) -> list[str]:
-    """Half harmful, half other sentences, spread by a fixed hash."""
-    rng = np.random.default_rng(7)
-    pick = []
-    for side in (y > 0, y <= 0):
-        at = np.flatnonzero(side)
-        pick += list(at[rng.permutation(len(at))[: many // 2]])
-    return [strings[k] for k in pick]
+# --- training on the workers ------------------------------------------------------------------------
 
 
-def _fit(docs: list[list[str]], labels: np.ndarray, landmarks: int, c: float, repeats: int, trust: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Weights per hashed subsequence and the offset, from the sentences of labelled documents.
+def labelled_sentences(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """``doc_id, harmful, fold, sentence`` of labelled documents, distinct normalised sentences, whole texts.
 
-    ``trust`` is the weight of each document's label.
+    The label is what most reviews say; documents whose reviews are evenly split are left out, and so are
+    documents without a sentence. At most ``most`` documents are taken, chosen by a hash of their id; this
+    is the one bound of training, and only labelled rows fall under it.
     """
-    trust = np.ones(len(docs)) if trust is None else trust
-    seen: dict[str, int] = {}
-    inside = [[seen.setdefault(s, len(seen)) for s in d] for d in docs]
-    strings = list(seen)
-    bad, good = np.zeros(len(strings)), np.zeros(len(strings))
-    for own, y, t in zip(inside, labels, trust):
-        for k in set(own):
-            (bad if y else good)[k] += t
-    maybe = bad > good  # a sentence that other documents have as well isn't what makes one harmful
-    f = features(strings)
-    lf = features(_landmarks(strings, np.where(maybe, 1, -1), landmarks))
-    km = gram(lf, lf)
-    value, vector = np.linalg.eigh((km + km.T) / 2)
+    votes = labels.where("is_harmful is not null").select("doc_id", "reviewer", "is_harmful", "labelled_at").distinct()
+    votes = votes.groupBy("doc_id").agg(F.avg("is_harmful").alias("share")).where("share <> 0.5")
+    chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = rows.select(F.col("doc_id").cast("bigint"), (F.col("share") > 0.5).alias("harmful"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"), F.col("text").cast("string"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [sorted({normal(s) for s in sentences(t)}) for t in b.column(3).to_pylist()]
+            at = np.repeat(np.arange(len(own)), [len(o) for o in own])
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(at)) for k in range(3)] + [pa.array([x for o in own for x in o], pa.string())], names=["doc_id", "harmful", "fold", "sentence"])
+
+    return rows.mapInArrow(cut, "doc_id bigint, harmful boolean, fold int, sentence string").distinct()
+
+
+def find_landmarks(sentences_: DataFrame, many: int) -> list[str]:
+    """Landmarks for the sentences: the ``many`` that lie farthest apart of twice as many, chosen by a hash."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = sorted(x for b in batches for x in b.column(0).to_pylist())
+        if strings:
+            yield pa.RecordBatch.from_arrays([pa.array(spread(strings, many), pa.string())], names=["sentence"])
+
+    candidates = sentences_.select("sentence").distinct().orderBy(F.xxhash64("sentence"), "sentence").limit(2 * many)
+    return [r.sentence for r in candidates.coalesce(1).mapInArrow(pick, "sentence string").collect()]
+
+
+def _gathered(table: pa.Table, landmarks: int) -> tuple[Sentences, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of ``_fold_jobs`` as Sentences, with each document's id, fold and held-out score."""
+    kernel = np.frombuffer(b"".join(table["kernel"].to_pylist()), np.float32).reshape(-1, landmarks).astype(np.float64)
+    docs = table["docs"].combine_chunks()
+    item = np.repeat(np.arange(len(table)), np.diff(docs.offsets.to_numpy()))
+    flat = docs.flatten()
+    column = {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+    ids, first, owner = np.unique(column["doc_id"], return_index=True, return_inverse=True)
+    y, fold, held = column["harmful"][first].astype(bool), column["fold"][first], column["held"][first].astype(float)
+    return Sentences(kernel, item, owner, y, column["trust"][first].astype(float)), ids, fold, held
+
+
+def _root(landmarks: list[str]) -> tuple[Features, np.ndarray]:
+    """The landmarks' features, and the inverse root of their kernel (Nyström)."""
+    f = features(landmarks)
+    k = gram(f, f)
+    value, vector = np.linalg.eigh((k + k.T) / 2)
     keep = value > 1e-6 * value[-1]
-    root = vector[:, keep] / np.sqrt(value[keep])
-    z = gram(f, lf) @ root
-    harmful = [([k for k in set(own) if maybe[k]] or list(set(own)), t) for own, y, t in zip(inside, labels, trust) if y and own and t > 0]
-    positive = np.zeros(len(strings))
-    for own, t in harmful:
-        positive[own] += t / len(own)
-    y = np.concatenate([np.ones(len(strings)), -np.ones(len(strings))])
-    w = np.zeros(z.shape[1] + 1)
-    for n in range(repeats):
-        weight = np.concatenate([positive, np.minimum(good, 3)])
-        on = weight > 0
-        balance = (weight[: len(strings)].sum() or 1) / (weight[len(strings) :].sum() or 1)
-        weight[len(strings) :] *= min(1.0, 3 * balance)
-        w = _machine(np.vstack([z, z])[on], y[on], weight[on], c)
-        s = z @ w[:-1] + w[-1]
-        if n < repeats - 1:
-            positive[:] = 0
-            for own, t in harmful:
-                positive[max(own, key=lambda k: s[k])] += t
-    return fold(lf, root @ w[:-1]), float(w[-1])
-
-
-def _held_out(docs: list[list[str]], y: np.ndarray, landmarks: int, c: float, repeats: int, folds: int, trust: np.ndarray) -> np.ndarray:
-    """The highest sentence's score of each document, from a model that hasn't seen it."""
-    held = np.full(len(docs), -1.0)
-    for k in range(folds):
-        out = np.arange(len(docs)) % folds == k
-        use = ~out & (trust > 0)
-        if not y[use].any() or y[use].all():
-            continue
-        w, b = _fit([d for d, o in zip(docs, use) if o], y[use], landmarks, c, repeats, trust[use])
-        flat = [s for d, o in zip(docs, out) if o for s in d]
-        if flat:
-            at = np.repeat(np.flatnonzero(out), [len(d) for d, o in zip(docs, out) if o])
-            np.maximum.at(held, at, project(features(flat), w) + b)
-    return held
-
-
-def train(
-    texts: list[str | None],
-    labels: list[int],
-    background: list[str | None] = (),
-    landmarks: int = LANDMARKS,
-    c: float = 3.0,
-    repeats: int = 4,
-    folds: int = 3,
-    sure: float = 0.6,
-    doubt: float = 0.5,
-    wrong: float = 0.15,
-) -> Model:
-    """A model from labelled texts, and from texts without a label, most of which are harmless.
-
-    Some labels are wrong, and some of the background is harmful, so documents are first scored by models
-    that haven't seen them; where such a score contradicts the label by more than ``doubt`` (harmful, of
-    these no more than the share ``wrong``) or ``sure`` (harmless), the document is left out. The threshold is the one of the best F1 on the labelled
-    documents that are left, again by models that haven't seen them, harmless ones weighing more as reviews
-    prefer suspicious texts. With labels of one kind only, or none, nothing scores above the border.
+    return f, vector[:, keep] / np.sqrt(value[keep])
+
+
+def train(documents: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, most: int = MAX_LABELLED) -> Model:
+    """A model from the labelled documents. All work is done in tasks; the driver holds the landmarks and
+    the finished weights.
+
+    Some labels are wrong, so documents are first scored by models that haven't seen them (one task for
+    each fold); where such a score contradicts the label by more than DOUBT (harmful) or SURE (harmless),
+    the document is left out of the second round, whose held-out scores give the threshold. The last model
+    is of all folds. With labels of one kind only, or none, nothing scores above the border.
     """
-    own = np.array(labels, bool)
-    if own.all() or not own.any():
+    flat = written(labelled_sentences(documents, labels, most), "harm-sentences")
+    kinds = {r.harmful for r in flat.select("harmful").distinct().collect()}
+    if len(kinds) < 2:
         return Model(np.zeros(SIZE + 1, np.float32), -1.0, 0.0)
-    y = np.concatenate([own, np.zeros(len(background), bool)])
-    docs = [[normal(s) for s in sentences(t)] for t in [*texts, *background]]
-    mixed = np.random.default_rng(5).permutation(len(docs))  # so that folds are alike
-    docs, y = [docs[k] for k in mixed], y[mixed]
-    base = np.where(mixed < len(own), 1.0, BACKGROUND_TRUST)
-    trust, threshold = base.copy(), 0.0
-    if len(own) >= 10 * folds:
-        held = _held_out(docs, y, landmarks // 2, c, repeats, folds, trust)
-        low = min(-doubt, np.quantile(held[y], wrong))
-        trust = np.where(y & (held < low) | ~y & (held > sure), 0.0, base)
-        if not (y & (trust > 0)).any():
-            trust = base
-        held = _held_out(docs, y, landmarks // 2, c, repeats, folds, trust)
-        kept = (trust > 0) & (mixed < len(own))
-        k, h = y[kept], held[kept]
-        grid = np.linspace(-0.8, 0.8, 65)
-        hit, false = np.array([(k & (h > t)).sum() for t in grid]), np.array([(~k & (h > t)).sum() for t in grid])
-        f1 = 2 * hit / np.maximum(1, hit + RARER * false + k.sum())
-        smooth = np.convolve(np.pad(f1, 4, "edge"), np.ones(9) / 9, "valid")
-        threshold = float(np.mean(grid[smooth >= smooth.max() - 1e-9]))
-    w, b = _fit([d for d, t in zip(docs, trust) if t], y[trust > 0], landmarks, c, repeats, trust[trust > 0])
-    return Model(w, b, threshold)
-
-
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_background: int = MAX_BACKGROUND) -> tuple[list[str | None], list[int], list[str | None]]:
-    """Labelled texts, their labels, and texts without one, at most so many of each, chosen by a hash of their id.
-
-    The label is what most reviews say; documents whose reviews are evenly split are left out. The bounds
-    are what the driver has to hold.
+    chosen = find_landmarks(flat, landmarks)
+    width = len(chosen)
+
+    def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = features(chosen)
+        for b in batches:
+            g = gram(features(b.column(0).to_pylist()), f).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in g], pa.binary())], names=["sentence", "kernel"])
+
+    strings = flat.select("sentence").distinct().repartition(2 * flat.sparkSession.sparkContext.defaultParallelism)
+    table = written(strings.mapInArrow(kernels, "sentence string, kernel binary"), "harm-kernel")
+
+    def held_out(group: pa.Table) -> pa.Table:
+        s, ids, fold, _ = _gathered(group, width)
+        out = fold == group["model"][0].as_py()
+        _, score = fit(s, ~out, _root(chosen)[1])
+        return pa.table({"id": ids[out], "score": s.highest(score)[out]})
+
+    def scored(docs: DataFrame) -> DataFrame:
+        return docs.withColumn("model", F.explode(F.array(*[F.lit(k) for k in range(FOLDS)]))).groupBy("model").applyInArrow(held_out, "id bigint, score double")
+
+    def placed(doubt: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+        """Sentences with their kernel and documents; labels that the scores in ``doubt`` contradict have trust 0."""
+        rows = flat.withColumns({"trust": F.lit(1.0), "held": F.lit(0.0)})
+        if doubt is not None:
+            wrong = F.when(F.col("harmful"), F.col("score") < -DOUBT).otherwise(F.col("score") > SURE)
+            rows = rows.join(doubt.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("trust", F.when(wrong, 0.0).otherwise(1.0)).drop("score")
+        if held is not None:
+            rows = rows.join(held.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("held", F.col("score")).drop("score")
+        docs = rows.groupBy("sentence").agg(F.collect_list(F.struct("doc_id", "harmful", "fold", "held", "trust")).alias("docs"))
+        return table.join(docs, "sentence").select("kernel", "docs")
+
+    def finish(group: pa.Table) -> pa.Table:
+        s, ids, _, held = _gathered(group, width)
+        kept = s.trust > 0
+        f, root = _root(chosen)
+        w, _ = fit(s, np.ones(len(ids), bool), root)
+        return pa.table({"weights": [fold(f, root @ w[:-1]).tobytes()], "offset": [float(w[-1])], "threshold": [border(s.y[kept], held[kept])]})
+
+    first = written(scored(placed()), "harm-held")
+    second = written(scored(placed(first)), "harm-held")
+    row = placed(first, second).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(finish, "weights binary, offset double, threshold double").first()
+    return Model(np.frombuffer(row.weights, np.float32), row.offset, row.threshold)
+
+
+def saved_model(documents: DataFrame, labels: DataFrame, key: str) -> Model:
+    """The model below the shared folder that has this key; trained and written if there is none yet.
+
+    ``key`` must tell apart the tables and their versions.
     """
-    votes = labels.where("is_harmful is not null").select("doc_id", "reviewer", "is_harmful", "labelled_at").distinct()
-    votes = votes.groupBy("doc_id").agg(F.avg("is_harmful").alias("share"))
-    chosen = votes.where("share <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
-    rest = documents.select("doc_id", "text").where("text is not null").join(votes, "doc_id", "left_anti")
-    other = rest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_background).collect()
-    return [r.text for r in rows], [int(r.share > 0.5) for r in rows], [r.text for r in other]
+    spark = documents.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/harm-model-{key}"
+    schema = "weights binary, offset double, threshold double"
+    try:
+        row = spark.read.schema(schema).parquet(path).first()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        row = None
+    if row is not None:
+        return Model(np.frombuffer(row.weights, np.float32), row.offset, row.threshold)
+    m = train(documents, labels)
+    spark.createDataFrame([(m.weights.tobytes(), m.offset, m.threshold)], schema).coalesce(1).write.mode("overwrite").parquet(path)
+    return m
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
