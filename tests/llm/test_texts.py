@@ -206,8 +206,9 @@ def test_folded_machine_is_the_kernel():
 
 
 def test_landmarks_lie_apart():
-    strings = [harmful.normal(x) for x in ["the gate is open"] * 3 + ["the gate is open now", "du bist dumm"]]
-    assert len(harmful.spread(strings, 5)) == 3 and set(harmful.spread(strings, 2)) >= {harmful.normal("du bist dumm")}
+    f = harmful.features([harmful.normal(x) for x in ["the gate is open"] * 3 + ["the gate is open now", "du bist dumm"]])
+    k = harmful.gram(f, f)
+    assert len(harmful.spread(k, 5)) == 3 and 4 in harmful.spread(k, 2)
 
 
 def test_harmful_tables(spark, tmp_path):

@@ -15,6 +15,8 @@ each fold's machine is a task. Only labels train it; texts without one take no p
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -34,9 +36,9 @@ SPAN3, SPAN4 = 5, 6
 PATTERNS = [(0, *c) for c in combinations(range(1, SPAN3), 2)] + [(0, *c) for c in combinations(range(1, SPAN4), 3)]
 WEIGHTS = np.array([DECAY ** (p[-1] + 1 - len(p)) for p in PATTERNS], np.float32)
 PAD = SPAN4
-#: Parameters of training: most labelled documents, landmarks, folds, cost of the machine, rounds of witnesses.
+#: Parameters of training: most labelled documents, landmarks and how many times as many are looked at, folds, cost of the machine, rounds of witnesses.
 MAX_LABELLED = 20_000
-LANDMARKS = 1_000
+LANDMARKS, CANDIDATES = 1_000, 4
 FOLDS = 3
 COST, REPEATS = 30.0, 3
 #: Power of the kernel that makes a landmark near; weight of other sentences of harmful documents.
@@ -50,6 +52,8 @@ RARER = 4
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
 _LEET_WORD = re.compile(r"[^\W_]*(?:[^\W\d_][0-9@$!€]|[0-9@$!€][^\W\d_])[\w@$!€*]*")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+#: Kana and ideographs say as much as several letters, so each takes two places and short subsequences hold words.
+_IDEOGRAM = re.compile("([\u3040-\u30ff\u3400-\u9fff])")
 _REPEAT = re.compile(r"(.)\1{2,}")
 _END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])|\n+")
 
@@ -66,6 +70,7 @@ def normal(sentence: str) -> str:
     s = _LEET_WORD.sub(lambda m: m[0].rstrip("!").translate(LEET) + "!" * (len(m[0]) - len(m[0].rstrip("!"))), s)
     s = _NUMBER.sub("0", s)
     s = _REPEAT.sub(r"\1", s)
+    s = _IDEOGRAM.sub(r"\1|", s)
     return " " + " ".join(s.split()) + " "
 
 
@@ -163,13 +168,10 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds:
     return w
 
 
-def spread(strings: list[str], many: int) -> list[str]:
-    """``many`` of the strings that lie far apart: each next one is the worst explained by those before
-    (the pivots of an incomplete Cholesky factor of the kernel)."""
-    f = features(strings)
-    k = gram(f, f)
-    k = (k + k.T) / 2
-    left = k.diagonal().copy()
+def spread(k: np.ndarray, many: int) -> list[int]:
+    """``many`` of the strings with this kernel that lie far apart: each next one is the worst explained by
+    those before (the pivots of an incomplete Cholesky factor)."""
+    left = k.diagonal().astype(np.float64)
     factor = np.zeros((len(k), min(many, len(k))))
     picked: list[int] = []
     for n in range(factor.shape[1]):
@@ -180,7 +182,7 @@ def spread(strings: list[str], many: int) -> list[str]:
         factor[:, n] = (k[:, i] - factor[:, :n] @ factor[i, :n]) / np.sqrt(left[i])
         left = np.maximum(left - factor[:, n] ** 2, 0)
         left[picked] = 0
-    return [strings[i] for i in picked]
+    return picked
 
 
 @dataclass
@@ -295,16 +297,35 @@ def labelled_sentences(documents: DataFrame, labels: DataFrame, most: int = MAX_
     return rows.mapInArrow(cut, "doc_id bigint, harmful boolean, fold int, sentence string").distinct()
 
 
-def find_landmarks(sentences_: DataFrame, many: int) -> list[str]:
-    """Landmarks for the sentences: the ``many`` that lie farthest apart of twice as many, chosen by a hash."""
+def kernel_rows(strings: DataFrame, against: list[str]) -> DataFrame:
+    """``sentence, kernel`` (float32) of the distinct sentences against some strings."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = features(against)
+        for b in batches:
+            g = gram(features(b.column(0).to_pylist()), f).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in g], pa.binary())], names=["sentence", "kernel"])
+
+    # few bytes but dear: spread over all cores, which AQE would not
+    own = strings.select("sentence").distinct()
+    return own.repartition(own.sparkSession.sparkContext.defaultParallelism).mapInArrow(rows, "sentence string, kernel binary")
+
+
+def find_landmarks(flat: DataFrame, many: int) -> list[str]:
+    """Landmarks for the sentences: the ``many`` that lie farthest apart of CANDIDATES times as many, chosen by a hash."""
+    chosen = flat.select("sentence").distinct().orderBy(F.xxhash64("sentence"), "sentence").limit(CANDIDATES * many)
+    strings = [r.sentence for r in chosen.collect()]
+    place = {x: n for n, x in enumerate(strings)}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = sorted(x for b in batches for x in b.column(0).to_pylist())
-        if strings:
-            yield pa.RecordBatch.from_arrays([pa.array(spread(strings, many), pa.string())], names=["sentence"])
+        k = np.zeros((len(place), len(place)), np.float32)
+        for b in batches:
+            for x, row in zip(b.column(0).to_pylist(), b.column(1)):
+                k[place[x]] = np.frombuffer(row.as_py(), np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(spread(k, many), pa.int32())], names=["n"])
 
-    candidates = sentences_.select("sentence").distinct().orderBy(F.xxhash64("sentence"), "sentence").limit(2 * many)
-    return [r.sentence for r in candidates.coalesce(1).mapInArrow(pick, "sentence string").collect()]
+    rows = kernel_rows(flat.sparkSession.createDataFrame([(x,) for x in strings], "sentence string"), strings)
+    return [strings[r.n] for r in rows.repartition(1).mapInArrow(pick, "n int").collect()]
 
 
 def _gathered(table: pa.Table, landmarks: int) -> tuple[Sentences, np.ndarray, np.ndarray, np.ndarray]:
@@ -344,14 +365,7 @@ def train(documents: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, m
     chosen = find_landmarks(flat, landmarks)
     width = len(chosen)
 
-    def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = features(chosen)
-        for b in batches:
-            g = gram(features(b.column(0).to_pylist()), f).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in g], pa.binary())], names=["sentence", "kernel"])
-
-    strings = flat.select("sentence").distinct().repartition(2 * flat.sparkSession.sparkContext.defaultParallelism)
-    table = written(strings.mapInArrow(kernels, "sentence string, kernel binary"), "harm-kernel")
+    table = written(kernel_rows(flat, chosen), "harm-kernel")
 
     def held_out(group: pa.Table) -> pa.Table:
         s, ids, fold, _ = _gathered(group, width)
@@ -389,10 +403,11 @@ def train(documents: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, m
 def saved_model(documents: DataFrame, labels: DataFrame, key: str) -> Model:
     """The model below the shared folder that has this key; trained and written if there is none yet.
 
-    ``key`` must tell apart the tables and their versions.
+    ``key`` must tell apart the tables and their versions; another version of this module trains anew.
     """
     spark = documents.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/harm-model-{key}"
+    code = hashlib.sha256(inspect.getsource(inspect.getmodule(train)).encode()).hexdigest()[:16]
+    path = f"{shared_folder(spark).rstrip('/')}/harm-model-{code}-{key}"
     schema = "weights binary, offset double, threshold double"
     try:
         row = spark.read.schema(schema).parquet(path).first()
