@@ -171,7 +171,7 @@ def _orphans(spark: SparkSession, folder: str) -> orphans.Orphans:
         .unionByName(outputs.select("graph_id", "output_id", "loaded_at", "deleted_at").toDF(*pick))
         .where("key is not null")
     )
-    return orphans.advance(orphans.Orphans(), refs, parents, keep=False)
+    return orphans.replay(refs, parents, "quarter")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,6 +188,23 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+def _orphan_counts_sql() -> str:
+    return r"""
+      WITH ref AS (SELECT port_key, graph_id AS g, source_ref AS k, min(loaded_at) AS seen FROM input_port_specs WHERE source_ref IS NOT NULL GROUP BY ALL),
+      parent AS (SELECT g, k, u, min(s) AS s FROM (
+          SELECT graph_id AS g, TRY_CAST(regexp_replace(trim(input_id), '\..*$', '') AS BIGINT) AS k, loaded_at AS s, deleted_at AS u FROM input_specs
+          UNION ALL SELECT graph_id, output_id, loaded_at, deleted_at FROM output_port_specs) WHERE g IS NOT NULL AND k IS NOT NULL GROUP BY ALL),
+      lived AS (SELECT * FROM parent WHERE u IS NULL OR u > s),
+      starts AS (SELECT DISTINCT g, k, s AS t FROM lived a WHERE NOT EXISTS (SELECT 1 FROM lived b WHERE b.g = a.g AND b.k = a.k AND b.s < a.s AND (b.u IS NULL OR b.u >= a.s))),
+      stops AS (SELECT DISTINCT g, k, u AS t FROM lived a WHERE u IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lived b WHERE b.g = a.g AND b.k = a.k AND b.s <= a.u AND (b.u IS NULL OR b.u > a.u))),
+      log AS (
+        SELECT seen AS t, 'opened' AS event FROM ref WHERE NOT EXISTS (SELECT 1 FROM parent p WHERE p.g = ref.g AND p.k = ref.k AND p.s <= ref.seen AND (p.u IS NULL OR p.u > ref.seen))
+        UNION ALL SELECT t, 'resolved' FROM ref JOIN starts USING (g, k) WHERE t > seen
+        UNION ALL SELECT t, 'reopened' FROM ref JOIN stops USING (g, k) WHERE t > seen)
+      SELECT 'input_port_specs' AS source_table, date_trunc('month', t) AS period, count(*) FILTER (event = 'opened') AS opened,
+        count(*) FILTER (event = 'resolved') AS resolved, count(*) FILTER (event = 'reopened') AS reopened FROM log GROUP BY 2"""
+
+
 REAL = r"'^[ \t]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*$'"
 WHOLE = r"'^[ \t]*[+-]?[0-9]+[ \t]*$'"
 
@@ -195,6 +212,7 @@ WHOLE = r"'^[ \t]*[+-]?[0-9]+[ \t]*$'"
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_counts": _counts_sql(),
+        "p6_counts": _orphan_counts_sql(),
         "p6_found": r"""
             WITH port AS (SELECT port_key, graph_id, source_ref, min(loaded_at) AS at FROM input_port_specs WHERE source_ref IS NOT NULL GROUP BY ALL),
             parent AS (
