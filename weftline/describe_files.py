@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.functions.storage import first_bytes
 from weftline.operators import images, jsons
 from weftline.profile import describe, infer_types
 from weftline.sources import readers, signals
@@ -32,8 +33,7 @@ def describe_image(spark: SparkSession, path: str) -> dict:
 
 
 def describe_mhd(path: str) -> dict:
-    with open(path, encoding="latin-1") as f:
-        h = signals.mhd_header(f.read())
+    h = signals.mhd_header(first_bytes(path, 1 << 20).decode("latin-1"))
     sizes = [int(x) for x in h["DimSize"].split()]
     spacing = [float(x) for x in h.get("ElementSpacing", h.get("ElementSize", " ".join("1" for _ in sizes))).split()]
     return {"rows": reduce(int.__mul__, sizes), "fields": _grid(sizes, spacing, None), "info": h}
@@ -44,8 +44,7 @@ def describe_dicom(path: str) -> dict:
     files = sorted(os.path.join(path, x) for x in os.listdir(path)) if os.path.isdir(path) else [path]
     heads = []
     for p in files:
-        with open(p, "rb") as f:
-            heads.append(signals.dicom_header(f.read()))
+        heads.append(signals.dicom_header(first_bytes(p, 1 << 20)))
     h = heads[0]
     gap = [float(x) for x in str(h.get("spacing", "1\\1")).split("\\")]
     sizes = [int(h["columns"]), int(h["rows"])] + ([len(files)] if len(files) > 1 else [])
@@ -54,8 +53,7 @@ def describe_dicom(path: str) -> dict:
 
 def describe_edf(path: str) -> dict:
     """Per channel the physical range, rate and unit; annotations are left out."""
-    with open(path, "rb") as f:
-        h = signals.edf_header(f.read(256 * 1024))
+    h = signals.edf_header(first_bytes(path, 256 * 1024))
     own = [c for c in h.channels if "Annotations" not in c.label]
     fields = [_field(n, c.label, "FLOAT", c.physical_min, c.physical_max, rate=c.rate, units=c.unit) for n, c in enumerate(own)]
     return {"rows": max([c.samples * h.records for c in own], default=0), "fields": fields, "info": {"start": h.start, "seconds": h.records * h.record_seconds}}

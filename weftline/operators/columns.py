@@ -107,6 +107,9 @@ def clean_text(df: DataFrame, columns: list[str], strip: bool = True, lower: boo
     return df.withColumns({c: one(col(c)) for c in known(df, columns) if isinstance(kind(df, c), T.StringType)})
 
 
+#: Rows that may become columns; a sheet has at most as many columns.
+MOST_HEADS = 16_384
+
 DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd.MM.yyyy", "dd-MM-yyyy", "MM/dd/yyyy", "M/d/yyyy", "yyyy/MM/dd", "yyyyMMdd"]
 
 
@@ -155,7 +158,7 @@ def unique(given: list[str]) -> list[str]:
     return out
 
 
-def flatten_header(df: DataFrame, start: int, end: int, separator: str = "_") -> DataFrame:
+def flatten_header(df: DataFrame, start: int, end: int, separator: str = " ") -> DataFrame:
     """Several header rows become one: filled downwards, empty and unnamed parts and repeats left out.
 
     Only the header rows come to the driver.
@@ -176,15 +179,30 @@ def flatten_header(df: DataFrame, start: int, end: int, separator: str = "_") ->
     return out if hidden else out.drop(ORD)
 
 
+def _turned(df: DataFrame, rest: list[str], name: str) -> tuple[DataFrame, list]:
+    """The cells of ``rest`` with rows and columns exchanged: ``name`` holds the old columns, one column per row
+    is named by its ordinal. As every row becomes a column, only tables of at most MOST_HEADS rows can be turned."""
+    ords = [r[ORD] for r in df.select(ORD).orderBy(ORD).limit(MOST_HEADS + 1).collect()]
+    if len(ords) > MOST_HEADS:
+        raise ValueError(f"a table of more than {MOST_HEADS} rows can't be turned into columns")
+    common = _common(df, rest)
+    long = df.select(ORD, *[col(c).cast(common).alias(c) for c in rest]).unpivot([ORD], [col(c) for c in rest], name, "_v")
+    wide = long.groupBy(name).pivot(ORD, ords).agg(F.first("_v")) if ords else long.select(name).distinct()
+    return wide.orderBy(F.array_position(F.array(*map(F.lit, rest)), F.col(name))), ords
+
+
+def transpose_table(df: DataFrame) -> DataFrame:
+    """Rows and columns exchanged: a row per column in their order, columns 0, 1, … per row; names are dropped."""
+    wide, ords = _turned(ordered(df), visible(df), "__name")
+    return wide.select(*[col(str(o)).alias(str(n)) for n, o in enumerate(ords)])
+
+
 def transpose_grid(df: DataFrame, observation_column_name: str = "observation") -> DataFrame:
     """The first column's cells become the columns, the other columns' names become rows."""
     hidden = ordered(df)
     own = visible(df)
     first, rest = own[0], own[1:]
-    heads = [(r[ORD], r[first]) for r in hidden.select(ORD, col(first)).orderBy(ORD).collect()]  # a sheet's row heads
-    fresh = unique(["" if h is None else str(h) for _, h in heads])
-    common = _common(df, rest)
-    long = hidden.select(ORD, *[col(c).cast(common).alias(c) for c in rest]).unpivot([ORD], [col(c) for c in rest], observation_column_name, "_v")
-    wide = long.groupBy(observation_column_name).pivot(ORD, [o for o, _ in heads]).agg(F.first("_v"))
-    place = F.array_position(F.array(*map(F.lit, rest)), F.col(observation_column_name))
-    return wide.orderBy(place).select(observation_column_name, *[col(str(o)).alias(f) for (o, _), f in zip(heads, fresh)])
+    wide, ords = _turned(hidden, rest, observation_column_name)
+    heads = {r[ORD]: r[first] for r in hidden.select(ORD, col(first)).collect()}  # as many as there are columns
+    fresh = unique(["" if heads[o] is None else str(heads[o]) for o in ords])
+    return wide.select(observation_column_name, *[col(str(o)).alias(f) for o, f in zip(ords, fresh)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.registry import transform
 from weftline.semantics import ORD, col, names, plain, visible
@@ -78,10 +78,11 @@ def _fitted(tables: list[DataFrame]) -> list[DataFrame]:
 
 @transform("union", dfs="DATAFRAME", ignore_index="BOOLEAN")
 def union(dfs: DataFrame | list[DataFrame] | dict[str, DataFrame] | None = None, ignore_index: object = True, **named: DataFrame) -> DataFrame:
-    """All rows of all tables by column name; columns that a table lacks are null. Nothing gives an error."""
+    """All rows of all tables by column name; columns that a table lacks are null. Nothing gives a table without rows
+    and columns."""
     tables = [plain(d) for d in _operands(dfs, named).values()]
     if not tables:
-        raise ValueError("No DataFrames to unite")
+        return SparkSession.active().range(0).select()
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _fitted(tables))
 
 

@@ -128,6 +128,7 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
     "drop_trailing_rows": R.drop_trailing_rows,
     "clip_rows": lambda df, start, stop: R.slice_rows(df, start, stop),
     "transpose_grid": C.transpose_grid,
+    "transpose_table": C.transpose_table,
     "fill_forward": lambda df, columns: C.fill_forward(df, columns),
     "melt": lambda df, id_columns, value_columns, var_name, value_name: C.melt(df, C.known(df, id_columns), C.known(df, value_columns) if value_columns else None, var_name, value_name),
     "select_known": lambda df, columns: C.select_columns(df, C.known(df, columns) or visible(df)),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from xml.etree import ElementTree as E
 
 from weftline.semantics import names, truth
 
+_XS = "{http://www.w3.org/2001/XMLSchema}"
+
 PORT_TYPES = ("DATAFRAME", "LIST", "FLOAT", "INTEGER", "BOOLEAN", "STRING", "JSON", "DICT", "IMAGE", "COLUMN_NAME", "COLUMN_NAME_OR_LIST")
 
 
@@ -36,14 +40,15 @@ def transform(name: str, output: str = "DATAFRAME", needs_order: bool = False, *
 
 
 def port_value(value: object, kind: str) -> object:
-    """A port's text as its type; raises ValueError where it can't be read."""
+    """A port's text as its type; the text itself where it can't be read as a number."""
     if not isinstance(value, str):
         return value
     text = value.strip()
-    if kind == "FLOAT":
-        return float(text)
-    if kind == "INTEGER":
-        return int(float(text))
+    if kind in ("FLOAT", "INTEGER"):
+        try:
+            return float(text) if kind == "FLOAT" else int(float(text))
+        except (ValueError, OverflowError):
+            return value
     if kind == "BOOLEAN":
         return truth(text)
     if kind == "LIST":
@@ -60,6 +65,42 @@ def catalogue_text() -> str:
     return "\n".join(f"{t.name}({', '.join(f'{p}: {k}' for p, k in t.ports.items())}) -> {t.output}" for t in REGISTRY.values())
 
 
+def schema_text() -> str:
+    """The transforms as an XML schema: a complex type each, whose annotation names the function and whose
+    elements are the ports, each with its type as ``Semantic``."""
+    load_all()
+    root = E.Element(f"{_XS}schema")
+    for t in REGISTRY.values():
+        kind = E.SubElement(root, f"{_XS}complexType", name=t.name)
+        E.SubElement(E.SubElement(kind, f"{_XS}annotation"), "function", name=t.name, output=t.output)
+        ports = E.SubElement(kind, f"{_XS}sequence")
+        for name, port in t.ports.items():
+            element = E.SubElement(ports, f"{_XS}element", name=name, type="xs:string")
+            E.SubElement(E.SubElement(element, f"{_XS}annotation"), f"{_XS}documentation").text = f"(Semantic: {port})"
+    return E.tostring(root, encoding="unicode")
+
+
+def read_schema(text: str) -> dict[str, Transform]:
+    """Name, output and ports of the transforms in an XML schema; elements in choices count as ports too.
+
+    A port's type is its ``Semantic``, else that of its schema type, else STRING.
+    """
+    plain = {"double": "FLOAT", "float": "FLOAT", "decimal": "FLOAT", "integer": "INTEGER", "int": "INTEGER", "long": "INTEGER", "boolean": "BOOLEAN"}
+    out = {}
+    for kind in E.fromstring(text).iter(f"{_XS}complexType"):
+        head = kind.find(".//function")
+        if head is None or not head.get("name"):
+            continue
+        ports = {}
+        for e in kind.iter(f"{_XS}element"):
+            said = re.search(r"\(Semantic:\s*(\w+)\)", "".join(x for x in e.itertext()))
+            own = plain.get((e.get("type") or "").split(":")[-1], "STRING")
+            ports[e.get("name")] = said[1] if said and said[1] in PORT_TYPES else own
+        known = REGISTRY.get(head.get("name"))
+        out[head.get("name")] = Transform(head.get("name"), known.call if known else None, head.get("output") or "DATAFRAME", ports)
+    return out
+
+
 def load_all() -> dict[str, Transform]:
     """Import every module that registers transforms."""
     from weftline.operators import aggregate, code, columns, filters, geo, images, jsons, labels, maths, multi, rows, series, tidy  # noqa: F401

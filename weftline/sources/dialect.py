@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import os
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from weftline.functions.records import BadRecord, split_record
+from weftline.functions.storage import first_bytes
 
 CANDIDATES = [";", ",", "\t", "|"]
 SAMPLE_LINES = 50
@@ -36,8 +38,14 @@ def set_dialect_delegate(f: Callable[[list[str]], dict] | None) -> None:
 
 def head(path: str, lines: int = SAMPLE_LINES) -> tuple[list[str], str]:
     """The first lines, without their ends, and the record separator."""
-    with open(path.removeprefix("file://"), encoding="utf-8-sig", errors="replace", newline="") as f:
-        raw = [x for _, x in zip(range(lines), f)]
+    raw, size = [], 64 * 1024
+    while len(raw) < lines:  # the last line may be cut off, so more is read until there are enough or no more
+        data = first_bytes(path, size)
+        raw = list(io.StringIO(data.decode("utf-8-sig", "replace"), newline=""))
+        if len(data) < size:
+            break
+        raw, size = raw[:-1], size * 8
+    raw = raw[:lines]
     return [x.rstrip("\r\n") for x in raw], "\r\n" if raw and raw[0].endswith("\r\n") else "\n"
 
 
@@ -100,8 +108,7 @@ def has_header(lines: list[str], separator: str) -> bool:
 def sniff(path: str) -> dict[str, str]:
     """Separator and header by the csv module's rules on the first 2048 characters; {} if they fail."""
     try:
-        with open(path.removeprefix("file://"), encoding="utf-8-sig", errors="replace", newline="") as f:
-            sample = f.read(2048)
+        sample = first_bytes(path, 4 * 2048).decode("utf-8-sig", "ignore")[:2048]
         d = csv.Sniffer().sniff(sample, "".join(CANDIDATES))
         return {"fieldSeparator": d.delimiter, "header": str(csv.Sniffer().has_header(sample)).lower()}
     except (csv.Error, OSError):

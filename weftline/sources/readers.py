@@ -39,6 +39,8 @@ def format_of(path: str) -> str:
 
 def read(spark: SparkSession, path: str | list[str], kind: str = "", **options: str) -> DataFrame:
     """A file, folder or list of files of a format (by the ending if none is named)."""
+    from weftline.sources import sheets, signals  # noqa: F401, their readers register themselves
+
     paths = [path] if isinstance(path, str) else list(path)
     kind = (kind or format_of(paths[0])).upper()
     if kind not in READERS:
@@ -57,19 +59,24 @@ def read_csv(spark: SparkSession, paths: list[str], options: dict[str, str]) ->
     """Delimited text by its options, or as the first file is found to be written; all columns are text.
 
     Types come later from weftline.profile.infer_types, one job for all columns. Lines to skip are cut by
-    position, which a file has only in a single split; files with a preamble are read whole.
+    position, which a file has only in a single split; files with a preamble are read whole, and a row of more
+    fields than the header is an error there (``operators.badrows`` takes such rows apart with the reason).
     """
     given = dict(options)
     tsv = any(p.lower().endswith(".tsv") for p in paths)
     if "fieldSeparator" not in given and "sep" not in given and not tsv:
-        first = paths[0] if os.path.isfile(paths[0]) else next(map(str, sorted(Path(paths[0]).rglob("*.csv"))), None) if os.path.isdir(paths[0]) else None
-        given = (dialect.characterize(first).options() if first else {}) | given
+        files = sorted(spark.read.text(paths).inputFiles())
+        given = (dialect.characterize(unquote(files[0])).options() if files else {}) | given
     separator = given.pop("fieldSeparator", given.pop("sep", "\t" if tsv else ","))
     skip = int(given.pop("skipLines", 0) or 0)
     names = header_option(given.pop("header", "true"))
     ends = given.pop("recordSeparator", None)
     extra = {k: v for k, v in given.items() if k not in ("inferSchema",)}
-    r = spark.read.options(sep=separator, quote='"', escape='"', multiLine=True, inferSchema=False, **extra)
+    whole = str(extra.pop("multiLine", "")).lower() or None
+    if whole is None:  # a file that is read whole is one task's work, so only where a quoted field may hold a line break
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        whole = bool(spark.read.text(paths).where(quotes % 2 == 1).limit(1).count())
+    r = spark.read.options(sep=separator, quote='"', escape='"', multiLine=whole, inferSchema=False, **extra)
     if ends and ends not in ("\n", "\r\n"):
         r = r.option("lineSep", ends).option("multiLine", False)
     cut = skip + (names or 0)
@@ -77,7 +84,7 @@ def read_csv(spark: SparkSession, paths: list[str], options: dict[str, str]) ->
         df = r.csv(paths, header=names is not None)
         return df if names is not None else df.toDF(*[str(n) for n in range(len(df.columns))])
     # the preamble goes before parsing: each file is one task's work, read line by line
-    first_file = sorted(map(str, Path(paths[0]).rglob("*.csv")))[0] if os.path.isdir(paths[0]) else paths[0]
+    first_file = unquote(sorted(spark.read.text(paths).inputFiles())[0])
     head = list(csv.reader(dialect.head(first_file, cut + 1)[0][cut:], delimiter=separator))
     cells = head[0] if head else []
     cols = cells if names is not None else [str(n) for n in range(len(cells))]
@@ -89,7 +96,9 @@ def read_csv(spark: SparkSession, paths: list[str], options: dict[str, str]) ->
                 for _ in range(cut + (names is not None)):
                     next(lines, None)
                 rows = csv.reader(lines, delimiter=separator)
-                while part := [[x or None for x in (r + [""] * len(cols))[: len(cols)]] for r in itertools.islice(rows, 10_000) if r]:
+                while part := [[x or None for x in r + [""] * (len(cols) - len(r))] for r in itertools.islice(rows, 10_000) if r]:
+                    if long := [r for r in part if len(r) > len(cols)]:
+                        raise ValueError(f"a row of {len(long[0])} fields under {len(cols)} columns: {long[0]}")
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string()))], names=["cells"])
 
     content = spark.read.format("binaryFile").load(paths).select("content")
