@@ -156,6 +156,16 @@ def test_pack(spark):
     assert packing.pack(df.limit(0)).count() == 0 and packing.fill(packing.pack(df.limit(0))).first().containers == 0
 
 
+def test_the_trie_decides_before_the_table():
+    """Words of look-alikes alone: the table takes them for Latin, the vocabulary knows better."""
+    known = K.spellings(["хор", "сорт вес", "Τιμή κατά"])
+    for mixed, want, table in (("xоp", "хор", "xop"), ("Xоp", "Хор", "Xop"), ("x\u200bоp", "хор", "xop")):
+        assert K.plain(mixed) == table and K.plain(mixed, known) == want and not K.is_plain(mixed, known)
+    assert K.plain("xop", known) == "xop" and K.plain("хор", known) == "хор"  # of one script: both are plain
+    near = K.spellings(["amount"], 1)
+    assert near.nearest("аmоunt") == "amount" and near.nearest("аmоumt") == "amount" and K.spellings(["amount"]).nearest("аmоumt") is None
+
+
 # --- harmful content -----------------------------------------------------------------------------------------
 
 

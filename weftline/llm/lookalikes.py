@@ -4,10 +4,12 @@ A text is in plain form if its letters are composed, characters have ordinary wi
 the ordinary blank is the only space, nothing is invisible, no sign stands for a letter that looks the
 same, and every word (a run of letters) is of one script, kanji and kana counting as one.
 
-Words that aren't are walked through a trie of known spellings by an edit automaton to which look-alikes
-and invisible characters cost nothing; a single cheapest spelling within ``max_cost`` replaces the word.
-With the default of 0 nothing but look-alikes is forgiven, so no text changes its look. Everything else
-is normalised character by character from a table that is derived from the Unicode database.
+A word that isn't is first walked through a trie of known spellings by an edit automaton to which look-alikes
+and invisible characters cost nothing and other edits one each; a single cheapest spelling within
+``max_cost`` decides. With the default of 0 nothing but look-alikes is forgiven, so no text changes its look.
+Only words that no spelling matches, and signs outside of words, are normalised by a table that is derived
+from the Unicode database. The two differ where a word's letters alone don't tell its script: a table
+takes it for Latin, the trie knows that it is the Russian or Greek word of the vocabulary.
 """
 
 from __future__ import annotations
@@ -183,6 +185,16 @@ def spellings(names: Iterable[str | None], max_cost: int = 0) -> Spellings:
     return Spellings(sorted(found), max_cost)
 
 
+def plain_word(word: str) -> bool:
+    """Whether a composed word has nothing to be replaced and letters of one script at most."""
+    return all(plain_char(c) == c for c in word) and len(scripts_of(word)) < 2
+
+
+def by_table(word: str) -> str:
+    """The plain form of a word that is no known spelling."""
+    return one_script(unicodedata.normalize("NFC", "".join(map(plain_char, word))))
+
+
 def _keep_joiners(text: str) -> set[int]:
     """Places of joiners and selectors that belong to an emoji or to a script that needs them."""
     keep = set()
@@ -215,8 +227,7 @@ def plain(text: str | None, known: Spellings | None = None) -> str | None:
         if run:
             word = "".join(run)
             run.clear()
-            table = one_script(unicodedata.normalize("NFC", "".join(map(plain_char, word))))
-            out.append((known and table != word and known.nearest(word)) or table)
+            out.append(word if plain_word(word) else (known and known.nearest(word)) or by_table(word))
 
     for n, c in enumerate(text):
         if n in keep:
