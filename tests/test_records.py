@@ -97,6 +97,13 @@ def test_typed_values():
 
 def test_assemble():
     assert list(assemble(['a,"b', 'c"', "d", 'e,"f'])) == ['a,"b\nc"', "d", 'e,"f']
+    lines = [f"{n},x" for n in range(1000)]
+    lines[3] = '3,5" pipe'  # a stray quote opens nothing
+    assert list(assemble(lines)) == lines
+    lines[7] = '7,"never closed'
+    lines[20] = '20,"fine"'
+    assert list(assemble(lines)) == lines  # nor does one that is closed by another record's quote swallow records
+    assert list(assemble(['a;"x', 'y";1', '2;"p""q', 'r"'], ";")) == ['a;"x\ny";1', '2;"p""q\nr"'] and list(assemble([])) == []
 
 
 def test_tables(spark, collected):

@@ -98,7 +98,7 @@ def test_columns(spark):
     assert C.promote_header(g).columns == ["__ord", "k", "k_1", "__col_2__"]
     t = C.transpose_grid(g, "what")
     assert [tuple(r) for r in t.collect()] == [("B", "k", "2", "4"), ("C", None, "3", None)] and t.columns == ["what", "k", "u", "v"]
-    assert C.flatten_header(g, 0, 1).columns == ["__ord", "k_u", "k_2", "3"]
+    assert C.flatten_header(g, 0, 1).columns == ["__ord", "k u", "k 2", "3"]
     assert col(C.cast_types(spark.createDataFrame([("13/02/2024",), ("x",)], "d string"), {"d": "date"}), "d") == [dt.date(2024, 2, 13), None]
 
 

@@ -25,22 +25,66 @@ class BadRecord(ValueError):
     """A record whose structure can't be read; ``args[0]`` is the reason."""
 
 
-def assemble(lines: Iterable[str]) -> Iterator[str]:
+def assemble(lines: Iterable[str], separator: str = ",", most_lines: int = 1_000) -> Iterator[str]:
     """Join physical lines into records: a line break inside an open quote belongs to the field.
 
-    A quote opens a field only at its start, but counting quotes is enough to tell whether one is
-    open, as inner quotes are doubled. What is open at the end comes out as it is.
+    A quote opens a field only at the field's start, so a stray quote inside an unquoted field opens nothing.
+    Where lines that were joined make no record (a field that is opened and not closed, or closed by the quote of
+    a later record), the first line comes out alone, for the strict reader to refuse, and those behind it are
+    read anew: nothing valid is lost behind a broken quote. ``most_lines`` is how many lines one record may have.
     """
+    todo = iter(lines)
     held: list[str] = []
-    odd = False
-    for line in lines:
-        held.append(line)
-        odd ^= line.count('"') % 2 == 1
-        if not odd:
+    again: list[str] = []
+    while True:
+        line = again.pop() if again else next(todo, None)
+        if line is not None:
+            held.append(line)
+            if open_at_end(line, separator, inside=len(held) > 1) and len(held) < most_lines:
+                continue
+        elif not held:
+            return
+        if len(held) == 1 or line is not None and _whole("\n".join(held), separator):
             yield "\n".join(held)
-            held = []
-    if held:
-        yield "\n".join(held)
+        else:
+            yield held[0]
+            again += held[:0:-1]
+        held = []
+
+
+def _whole(record: str, separator: str) -> bool:
+    try:
+        split_record(record.removesuffix("\r"), separator)
+    except BadRecord:
+        return False
+    return True
+
+
+def open_at_end(line: str, separator: str, inside: bool = False) -> bool:
+    """Whether a quoted field is open at the end of a line; ``inside`` tells whether one was at its start."""
+    at, n = 0, len(line)
+    while True:
+        if not inside:
+            if line.startswith('"', at):
+                inside, at = True, at + 1
+            else:
+                at = line.find(separator, at)
+                if at < 0:
+                    return False
+                at += len(separator)
+                continue
+        end = line.find('"', at)
+        if end < 0:
+            return True
+        if line.startswith('"', end + 1):
+            at = end + 2
+            continue
+        inside, at = False, line.find(separator, end + 1)  # what stands between is for the strict reader to refuse
+        if at < 0:
+            return False
+        at += len(separator)
+        if at > n:
+            return False
 
 
 def split_record(raw: str, separator: str = ",", crlf: bool = False) -> list[str]:

@@ -78,7 +78,8 @@ def parse_lines(lines: DataFrame, characterizations: DataFrame, *, rejects_only:
     ``reason`` is null for valid lines, whose ``cells`` are the values in canonical text (null for the
     spellings of null); for others ``cells`` is null. Skipped lines, the header and lines of blanks don't
     come out. A null line, and a line of a file without characterization or declared columns, is a
-    reject. Repeated deliveries of a line come out once. Empty tables give an empty result.
+    reject. Repeated deliveries of a line, which differ in their time alone, come out once: after parsing, so that
+    what is shuffled is what is left, not all texts. Empty tables give an empty result.
 
     The side that is joined has one row per file; Spark broadcasts it while it is under the session's
     threshold, and splits a hot file's partition by AQE where it isn't.
@@ -136,7 +137,7 @@ def value_lines(parsed: DataFrame, characterizations: DataFrame) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+def read_records(spark: SparkSession, path: str, encoding: str = "utf-8", separator: str = ",") -> DataFrame:
     """``file_name, line_no, raw_line`` of whole delimited files: records assembled quote-aware.
 
     Files are the unit of parallelism here, because whether a line break is inside quotes depends on all
@@ -147,7 +148,7 @@ def read_records(spark: SparkSession, path: str, encoding: str = "utf-8") -> Dat
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 lines = content.decode(encoding, "replace").removeprefix("﻿").split("\n")
-                rows = list(assemble(lines[:-1] if lines and not lines[-1] else lines))
+                rows = list(assemble(lines[:-1] if lines and not lines[-1] else lines, separator))
                 for at in range(0, len(rows), 10_000):
                     part = rows[at : at + 10_000]
                     yield pa.RecordBatch.from_pydict({"file_name": [name] * len(part), "line_no": range(at + 1, at + len(part) + 1), "raw_line": part}, schema=pa.schema([("file_name", pa.string()), ("line_no", pa.int32()), ("raw_line", pa.string())]))

@@ -135,7 +135,8 @@ def _columns(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     cells = table(spark, folder, "cell_references").select("cell_ref_id", "map_id", "table_id", "col_idx", "semantic_name", "data_type").distinct()
     place = F.concat_ws("/", "table_id", F.lpad(F.col("col_idx"), 8, " "))
     keyed = with_keys(cells, terms, "semantic_name")
-    return files, keyed.select(F.col("cell_ref_id").alias("column_id"), F.col("map_id").alias("file_id"), "key", F.col("semantic_name").alias("name"), "data_type", place.alias("position"))
+    columns = keyed.select(F.col("cell_ref_id").alias("column_id"), F.col("map_id").alias("file_id"), "key", F.col("semantic_name").alias("name"), "data_type", place.alias("position"))
+    return written(files, "files"), written(columns, "columns")  # read several times, so names are matched once
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -366,7 +366,7 @@ def w_offset(s, d):
 @query()
 def w_forecast(s, d):
     daily = t(s, d, "orders").groupBy(F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).cast("timestamp_ntz").alias("day")).agg(F.avg("o_totalprice").alias("price"))
-    return series.forecast_time_series(daily, "day", "price", 14, trees=20)
+    return series.forecast_time_series(daily, "day", "price", 14)
 
 
 # --- JSON, labels, places, code -------------------------------------------------------------------------------
