@@ -3,14 +3,20 @@
 First a multi-pattern automaton over the canonical names and their aliases looks for mentions that start
 and end at word borders; of overlapping ones the longest wins. A name that consists of one entry's
 mention and decoration (numbers, units, table prefixes) means that entry. What is left goes to
-token-set similarity: the same words in another order, cut short, abbreviated, or mistyped. Only a
-single best entry is an answer; a name that fits several equally well means nothing definite.
+token-set similarity: words are paired off, each with the one it equals, abbreviates or mistypes, and a name
+means the entry whose words it shares, if they are the same set, or alike to ``least_similarity`` or more.
+Names without borders between words are compared as a whole: cut short, or mistyped. Only a single best entry
+is an answer; a name that fits several equally well means nothing definite.
+
+No step walks over all entries: each has an index (sorted texts for prefixes, initial letters of words for
+abbreviations, parts of texts for typing errors, words for similarity) that gives the few that can fit.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from itertools import permutations
 
@@ -72,11 +78,12 @@ class TermResolver:
     """``resolve(name)`` gives the id of the entry that a name means, or 0.
 
     ``terms``: (id, canonical name, aliases). ``max_edits`` is the most typing errors, ``least_prefix`` the
-    least share of an entry's letters that a name cut short must have. Null and blank names mean nothing.
+    least share of an entry's letters that a name cut short must have, ``least_similarity`` the least share of
+    words that a name and an entry must have in common. Null and blank names mean nothing.
     """
 
-    def __init__(self, terms: list[tuple[int, str, list[str] | None]], max_edits: int = 2, least_prefix: float = 0.5):
-        self.max_edits, self.least_prefix = max_edits, least_prefix
+    def __init__(self, terms: list[tuple[int, str, list[str] | None]], max_edits: int = 2, least_prefix: float = 0.5, least_similarity: float = 0.8):
+        self.max_edits, self.least_prefix, self.least_similarity = max_edits, least_prefix, least_similarity
         self.exact = {t: n for n, t, _ in terms}
         self.compact: dict[str, set[int]] = defaultdict(set)
         self.orders: dict[str, set[int]] = defaultdict(set)
@@ -102,9 +109,29 @@ class TermResolver:
             self.automaton.add_word(text, (len(text), ids))
         if self.compact:
             self.automaton.make_automaton()
-        self.lengths: dict[int, list[str]] = defaultdict(list)
+        self.sorted = sorted(self.compact)
+        self.initials: dict[tuple[str, ...], list[tuple[int, list[str]]]] = defaultdict(list)
+        self.heads: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
+        for n, w in self.canon:
+            self.initials[tuple(sorted(x[0] for x in w))].append((n, w))
+            if len(w) > 1:
+                self.heads[w[0][0]].append((n, w))
+        self.segments: dict[tuple[int, int, str], list[str]] = defaultdict(list)
         for text in self.orders.keys() | self.compact.keys():
-            self.lengths[len(text)].append(text)
+            for k, (a, b) in enumerate(self._cuts(len(text))):
+                self.segments[len(text), k, text[a:b]].append(text)
+        self.sets: dict[int, set[tuple[str, ...]]] = defaultdict(set)
+        self.having: dict[str, set[int]] = defaultdict(set)
+        for bag, ids in self.bags.items():
+            for n in ids:
+                self.sets[n].add(bag)
+                for x in bag:
+                    self.having[x].add(n)
+
+    def _cuts(self, length: int) -> list[tuple[int, int]]:
+        """A text in more parts than ``max_edits`` edits, each of at most two neighbouring letters, can touch."""
+        many = 2 * self.max_edits + 1
+        return [(length * k // many, length * (k + 1) // many) for k in range(many)]
 
     def resolve(self, name: str | None) -> int:
         if name is None:
@@ -153,24 +180,47 @@ class TermResolver:
     def _similar(self, w: list[str]) -> int:
         text = "".join(w)
         # the same words in any order, however many; permutations find short names without borders
-        for ids in (self.bags.get(tuple(sorted(w)), set()) | self.orders.get(text, set()), self._cut(text), self._abbreviated(w), self._mistyped(text, w)):
-            if ids:
+        for found in (lambda: self.bags.get(tuple(sorted(w)), set()) | self.orders.get(text, set()), lambda: self._cut(text), lambda: self._abbreviated(w), lambda: self._mistyped(text, w), lambda: self._sharing(w)):
+            if ids := found():
                 return next(iter(ids)) if len(ids) == 1 else NOTHING
         return NOTHING
 
     def _cut(self, text: str) -> set[int]:
-        return {n for full, ids in self.compact.items() if full.startswith(text) and len(text) >= max(4, self.least_prefix * len(full)) for n in ids}
+        out: set[int] = set()
+        for k in range(bisect_left(self.sorted, text), len(self.sorted)):
+            full = self.sorted[k]
+            if not full.startswith(text):
+                break
+            if len(text) >= max(4, self.least_prefix * len(full)):
+                out |= self.compact[full]
+        return out
 
     def _abbreviated(self, w: list[str]) -> set[int]:
+        """Entries of which each word is abbreviated by one word of the name, or by a part of its one word."""
         out = set()
-        for n, full in self.canon:
-            if len(w) == len(full):
-                if max(map(len, w)) >= 2 and (all(map(shortens, w, full)) or len(w) > 1 and any(all(map(shortens, p, full)) for p in permutations(w))):
+        firsts = {()}
+        for x in w:
+            firsts = {(*f, c) for f in firsts for c in {x[0], SHORT_FORMS.get(x, x)[0]}}
+        if max(map(len, w)) >= 2:
+            for n, full in {n: full for f in firsts for n, full in self.initials.get(tuple(sorted(f)), ())}.items():
+                if paired([[b for b, y in enumerate(full) if shortens(x, y)] for x in w]) == len(w):
                     out.add(n)
-            elif len(w) == 1 and 1 < len(full) and self._runs(w[0], full):
-                out.add(n)
+        if len(w) == 1:
+            out |= {n for n, full in self.heads.get(w[0][0], ()) if self._runs(w[0], full)}
         return out
 
+    def _sharing(self, w: list[str]) -> set[int]:
+        """Entries with the highest token-set similarity to the name: twice the common words over all words."""
+        known = [x for x in set(w) if x in self.having]
+        best, ids = self.least_similarity, set()
+        for n in {n for x in known for n in self.having[x]}:
+            for bag in self.sets[n]:
+                s = 2 * len(set(w) & set(bag)) / (len(set(w)) + len(set(bag)))
+                if s >= best:
+                    ids = {n} | (ids if s == best else set())
+                    best = s
+        return ids
+
     def _runs(self, text: str, full: list[str]) -> bool:
         """Whether a text without borders is one abbreviation of each word in turn."""
         if len(text) < max(6, 2 * len(full)) and len(text) != len(full):
@@ -191,17 +241,40 @@ class TermResolver:
 
     def _mistyped(self, text: str, w: list[str]) -> set[int]:
         most = min(self.max_edits, max(1, len(text) // 4)) if len(text) >= 5 else 0
+        if not most:
+            return set()
+        near = set()
+        for n in range(max(1, len(text) - most), len(text) + most + 1):
+            for k, (a, b) in enumerate(self._cuts(n)):
+                for shift in range(-most, most + 1):
+                    if 0 <= a + shift and b + shift <= len(text):
+                        near.update(self.segments.get((n, k, text[a + shift : b + shift]), ()))
         best, ids = most, set()
         letters = set(text)
-        for n in range(len(text) - most, len(text) + most + 1):
-            for full in self.lengths.get(n, ()):
-                if len(letters ^ set(full)) > 2 * most:
-                    continue
-                d = edits(text, full, best)
-                if 1 < d <= best and not any(self._spread(w, p) for p in self.parts[full]):
-                    continue
-                if d < best:
-                    best, ids = d, set()
-                if d == best and d > 0:
-                    ids |= self.orders.get(full, set()) | self.compact.get(full, set())
+        for full in sorted(near, key=lambda x: (len(x), x)):
+            if len(letters ^ set(full)) > 2 * most:
+                continue
+            d = edits(text, full, best)
+            if 1 < d <= best and not any(self._spread(w, p) for p in self.parts[full]):
+                continue
+            if d < best:
+                best, ids = d, set()
+            if d == best and d > 0:
+                ids |= self.orders.get(full, set()) | self.compact.get(full, set())
         return ids
+
+
+def paired(options: list[list[int]]) -> int:
+    """How many of the left sides can each have one of their right sides for themselves."""
+    of: dict[int, int] = {}
+
+    def give(left: int, seen: set[int]) -> bool:
+        for r in options[left]:
+            if r not in seen:
+                seen.add(r)
+                if r not in of or give(of[r], seen):
+                    of[r] = left
+                    return True
+        return False
+
+    return sum(give(k, set()) for k in range(len(options)))
