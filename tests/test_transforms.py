@@ -6,6 +6,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.functions.ordered import previous, with_order
 from weftline.operators import aggregate as A, code, columns as C, filters as Fi, geo, images, jsons, labels, maths as M, multi, rows as R, series as S
@@ -241,3 +242,30 @@ def test_registry():
     assert len(load_all()) >= 48 and names("['a', \"b\" , ]") == ["a", "b"]
     assert port_value("3.0", "INTEGER") == 3 and port_value("yes", "BOOLEAN") is True and port_value("a, b", "COLUMN_NAME_OR_LIST") == ["a", "b"]
     assert port_value("x", "FLOAT") == "x"
+
+
+def test_large_parts_are_found_by_position(spark, monkeypatch):
+    from weftline.functions import ordered as O
+
+    monkeypatch.setattr(O, "SMALL", 5)
+    df = spark.range(200).selectExpr("id AS __ord", "id", "CASE WHEN id % 10 <> 3 THEN id % 7 END AS v").repartition(5)
+    data = [(n, n % 7 if n % 10 != 3 else None) for n in range(200)]
+    best = sorted(data, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    assert [r.id for r in R.get_top_n(df, "v", 60).collect()] == [x[0] for x in best[:60]]
+    assert sum(r["0"] for r in R.get_top_n(df, "v", 60, True)["mask"].collect()) == 60
+    assert [r.id for r in R.get_bottom_percentage(df, "v", 0.9).collect()] == [x[0] for x in sorted(data, key=lambda x: (x[1] is None, x[1] or 0, x[0]))[:180]]
+    for a, b in ((30, 90), (-40, None), (150, None), (-60, -10), (0, 3), (None, None), (190, 400), (50, 20)):
+        assert [r.id for r in R.slice_rows(df, a, b).collect()] == list(range(200))[slice(a, b)], (a, b)
+    assert len({r.id for r in R.sample_rows(df, 77, seed=1).collect()}) == 77 and R.sample_rows(df, fraction=1.0).count() == 200
+    assert R.get_top_n(df.limit(0), "v", 60).count() == 0
+
+
+def test_windows_in_groups(spark):
+    from weftline.functions.ordered import framed, running_sum
+    from pyspark.sql import Window
+
+    df = spark.range(300).selectExpr("id AS __ord", "CASE WHEN id % 13 <> 0 THEN IF(id % 3 = 0, 'hot', concat('k', id % 5)) END AS k", "id * 1.0D AS x")
+    w = Window.partitionBy("k").orderBy("__ord")
+    want = {r["__ord"]: (r.a, r.b) for r in df.select("__ord", F.sum("x").over(w.rowsBetween(-3, 2)).alias("a"), F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("b")).collect()}
+    got = running_sum(framed(df, {"a": lambda w: F.sum("x").over(w.rowsBetween(-3, 2))}, 3, 2, least=10, keys=["k"]), "x", "b", size=16, keys=["k"])
+    assert {r["__ord"]: (r.a, r.b) for r in got.collect()} == want

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.functions.ordered import previous
+from weftline.functions.storage import written
 
 # The lattice's chains; types of different chains meet in string.
 CHAINS = [["int", "float", "string"], ["date", "timestamp", "string"], ["boolean", "string"]]
@@ -121,63 +122,67 @@ def _kind(t: pa.DataType) -> str:
     return "timestamp" if pa.types.is_timestamp(t) else "string"
 
 
+def _opened(path: str):  # noqa: ANN202
+    """A file on any store that Arrow knows by its address; a path without a scheme is local."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    return store.open_input_file(name)
+
+
 def file_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``file_id`` (the place in ``paths``), ``path, position, name, data_type`` of Parquet and CSV files,
     read in parallel: only footers and header lines are touched. CSV columns are strings."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import csv
+        import io
 
         import pyarrow.parquet as pq
 
         for batch in batches:
             rows = []
             for n, path in zip(batch.column("file_id").to_pylist(), batch.column("path").to_pylist()):
-                local = path.removeprefix("file://")
-                if local.endswith(".csv"):
-                    with open(local, newline="", encoding="utf-8-sig") as f:
-                        rows += [(n, path, k, name, "string") for k, name in enumerate(next(csv.reader(f), []))]
-                else:
-                    rows += [(n, path, k, f.name, _kind(f.type)) for k, f in enumerate(pq.read_schema(local))]
+                with _opened(path) as f:
+                    if path.endswith(".csv"):
+                        line = next(csv.reader(io.TextIOWrapper(f, "utf-8-sig", newline="")), [])
+                        rows += [(n, path, k, name, "string") for k, name in enumerate(line)]
+                    else:
+                        rows += [(n, path, k, c.name, _kind(c.type)) for k, c in enumerate(pq.read_schema(f))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()))], names=["file_id", "path", "position", "name", "data_type"])
 
-    listed = spark.createDataFrame(list(enumerate(paths)), "file_id bigint, path string").repartition(max(1, min(len(paths), 200)))
+    listed = spark.createDataFrame(list(enumerate(paths)), "file_id bigint, path string").repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism)))
     return listed.mapInArrow(heads, "file_id bigint, path string, position int, name string, data_type string")
 
 
 def read_drifting(spark: SparkSession, paths: list[str], keys: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """All files as one table in the union schema, and the ordered changes from file to file.
 
-    ``paths`` are in order of time. ``keys`` maps names to canonical ones. Files are read in groups of equal
-    headers, each with its own explicit schema, and cast; values that a promotion can't hold become null.
-    The table has ``file_path`` first; a column of that name in the files is kept as ``file_path_``.
+    ``paths`` are in order of time. ``keys`` maps names to canonical ones. The headers stay a table: the lattice
+    is folded and the changes are found by keyed aggregation. What comes to the driver is the union schema and
+    the distinct headers with their files. Files are read in groups of equal headers, each with its own
+    explicit schema, and cast; values that a promotion can't hold become null. The table has ``file_path``
+    first; a column of that name in the files is kept as ``file_path_``.
     """
-    keys = keys or {}
-    heads = [r.asDict() for r in file_headers(spark, paths).collect()]  # one row per column of a file: metadata only
-    by_file: dict[int, list[dict]] = {n: [] for n in range(len(paths))}
-    for h in sorted(heads, key=lambda h: (h["file_id"], h["position"])):
-        key = keys.get(h["name"], h["name"])
-        by_file[h["file_id"]].append(h | {"key": key + "_" if key == "file_path" else key})
-    types: dict[str, list[str]] = {}
-    for hs in by_file.values():
-        for h in hs:
-            types.setdefault(h["key"], []).append(h["data_type"])
-    union = {k: join_types(v) for k, v in types.items()}
-    groups: dict[tuple, list[str]] = {}
-    for n, hs in by_file.items():
-        groups.setdefault((paths[n].endswith(".csv"), *((h["name"], h["key"]) for h in hs)), []).append(paths[n])
+    name = F.col("name")
+    pairs = [x for k, v in (keys or {}).items() for x in (F.lit(k), F.lit(v))]
+    key = F.coalesce(F.create_map(*pairs)[name], name) if pairs else name
+    heads = written(file_headers(spark, paths).withColumn("key", F.when(key == "file_path", "file_path_").otherwise(key)), "headers")
+    every = heads.select(F.lit(0).alias("series_id"), F.col("file_id").alias("period_no"), "file_id", "key", "data_type")
+    first = heads.groupBy("key").agg(F.min(F.struct("file_id", "position")).alias("at"))
+    schema = union_schema(every).join(first, "key").orderBy("at").collect()  # one row per column of the union
+    union = {r.key: r.data_type for r in schema}
+    by_file = heads.groupBy("file_id", "path").agg(F.sort_array(F.collect_list(F.struct("position", "name", "key"))).alias("columns"))
+    shapes = by_file.groupBy(F.col("path").endswith(".csv").alias("is_csv"), F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["key"].alias("key"))).alias("columns"))
     parts = []
-    for (is_csv, *cols), files in groups.items():
-        df = spark.read.csv(files, header=True, schema=", ".join(f"`{n}` string" for n, _ in cols)) if is_csv else spark.read.option("mergeSchema", "false").parquet(*files)
-        first = {}
+    for shape in shapes.agg(F.sort_array(F.collect_list("file_id")).alias("files")).orderBy(F.element_at("files", 1)).collect():
+        files, cols = [paths[n] for n in shape.files], [(c["name"], c["key"]) for c in shape.columns]
+        df = spark.read.csv(files, header=True, schema=", ".join(f"`{n}` string" for n, _ in cols)) if shape.is_csv else spark.read.option("mergeSchema", "false").parquet(*files)
+        own = {}
         for n, k in cols:
-            first.setdefault(k, n)
-        parts.append(df.select(F.col("_metadata.file_path").alias("file_path"), *[(F.col(f"`{first[k]}`").try_cast(CASTS[t]) if k in first else F.lit(None).cast(CASTS[t])).alias(k) for k, t in union.items()]))
+            own.setdefault(k, n)
+        parts.append(df.select(F.col("_metadata.file_path").alias("file_path"), *[(F.col(f"`{own[k]}`").try_cast(CASTS[t]) if k in own else F.lit(None).cast(CASTS[t])).alias(k) for k, t in union.items()]))
     table = reduce(DataFrame.unionByName, parts)
-    rows = [(n, 0, n) for n in range(len(paths))]
-    cells = [(n * 1_000_000 + h["position"], n, h["key"], h["name"], h["data_type"], h["position"]) for n, hs in by_file.items() for h in hs]
-    log = changes(
-        spark.createDataFrame(rows, "file_id bigint, series_id bigint, period_no bigint"),
-        spark.createDataFrame(cells, "column_id bigint, file_id bigint, key string, name string, data_type string, position int"),
-    )
-    return table, log.orderBy("file_id", "change_kind", "key")
+    files = spark.range(len(paths)).select(F.col("id").alias("file_id"), F.lit(0).cast("bigint").alias("series_id"), F.col("id").alias("period_no"))
+    columns = heads.select((F.col("file_id") * 1_000_000 + F.col("position")).alias("column_id"), "file_id", "key", "name", "data_type", "position")
+    return table, changes(files, columns).orderBy("file_id", "change_kind", "key")

@@ -9,6 +9,8 @@ import random
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftline.functions import ordered as O
+from weftline.functions.ordered import first_rows, numbered
 from weftline.registry import transform
 from weftline.semantics import ORD, col, missing_last, names, need, ordered, tie, truth
 
@@ -20,10 +22,14 @@ def _extreme(df: DataFrame, column: str, n: int, largest: bool, return_mask: obj
     n = max(0, int(n))
     order = [missing_last(column, not largest), *tie(df)]
     if not truth(return_mask):
-        return df.orderBy(*order).limit(n)
+        if n <= O.SMALL:
+            return df.orderBy(*order).limit(n)
+        hidden = ORD in df.columns
+        out = first_rows(ordered(df), [missing_last(column, not largest), F.col(ORD).asc()], n, O.SMALL)
+        return out if hidden else out.drop(ORD)
     df = ordered(df)
     order = [missing_last(column, not largest), F.col(ORD).asc()]
-    result = df.orderBy(*order).limit(n)
+    result = first_rows(df, order, n, O.SMALL)
     # the last row that made it is the border; one row, so that no side of the mask grows with n
     edge = result.agg(F.max_by(F.struct(col(column).alias("v"), F.col(ORD).alias("o")), F.struct(col(column).isNull().alias("m"), (col(column) * (-1 if largest else 1)).alias("v"), F.col(ORD).alias("o"))).alias("edge")) if _numeric(df, column) else None
     if edge is None:
@@ -84,20 +90,24 @@ def sort_values(df: DataFrame, columns: str | list[str], ascending: object = Tru
     return out.withColumn(ORD, F.monotonically_increasing_id()) if ORD in df.columns else out
 
 
-def _in_order(df: DataFrame) -> DataFrame:
-    return ordered(df).orderBy(ORD)
-
-
 @transform("slice_rows", df="DATAFRAME", start="INTEGER", stop="INTEGER", needs_order=True)
 def slice_rows(df: DataFrame, start: int | None = None, stop: int | None = None) -> DataFrame:
     """Rows from position start up to stop, as Python slices; negative positions count from the end."""
     hidden = ORD in df.columns
     start, stop = int(start or 0), None if stop is None else int(stop)
-    if start < 0 or (stop is not None and stop < 0):
-        start, stop, _ = slice(start, stop).indices(df.count())
-    out = _in_order(df)
-    out = out.offset(start) if start else out
-    out = out if stop is None else out.limit(max(0, stop - start))
+    df = ordered(df)
+    if start < 0 and stop is None and -start <= O.SMALL:  # the last rows, without a count of all
+        out = df.orderBy(F.col(ORD).desc()).limit(-start).orderBy(ORD)
+    else:
+        if start < 0 or (stop is not None and stop < 0):
+            start, stop, _ = slice(start, stop).indices(df.count())
+        if not start and stop is None:
+            out = df.orderBy(ORD)
+        elif stop is not None and stop <= O.SMALL:
+            out = df.orderBy(ORD).offset(start).limit(max(0, stop - start))
+        else:
+            place = F.col("__pos")
+            out = numbered(df, [F.col(ORD).asc()]).where((place >= start) & (F.lit(True) if stop is None else place < stop)).orderBy(place).drop("__pos")
     return out if hidden else out.drop(ORD)
 
 
@@ -109,7 +119,16 @@ def sample_rows(df: DataFrame, n: int | None = None, fraction: float | None = No
     if fraction is not None:
         n = round(float(fraction) * df.count())
     n = 1 if n is None else int(n)
-    return df.orderBy(F.rand(random.randrange(2**31) if seed is None else int(seed))).limit(n)
+    drawn = df.withColumn("__r", F.rand(random.randrange(2**31) if seed is None else int(seed)))
+    if n <= O.SMALL:
+        return drawn.orderBy("__r").limit(n).drop("__r")
+    # rows below a threshold are in, those around it are drawn to make up the number
+    total = df.count()
+    share = min(1.0, n / max(1, total))
+    border = (6 * (total * share * (1 - share)) ** 0.5 + 10) / max(1, total)
+    sure = drawn.where(F.col("__r") < share - border)
+    rest = first_rows(drawn.where((F.col("__r") >= share - border) & (F.col("__r") < share + border)).withColumn(ORD + "r", F.monotonically_increasing_id()), [F.col("__r"), F.col(ORD + "r")], n - sure.count(), O.SMALL)
+    return sure.unionByName(rest.drop(ORD + "r")).drop("__r")
 
 
 @transform("count_rows", output="INTEGER", df="DATAFRAME")

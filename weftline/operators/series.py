@@ -41,7 +41,7 @@ def rolling_statistics(df: DataFrame, column: str, window_size: int = 3, functio
     """MEAN, STD, MIN, MAX or SUM over a centred window of rows, or CUMSUM over all rows so far.
 
     A window that isn't full of values gives null; windows of even size lean to earlier rows. Within groups
-    rows of a missing key are null. Without groups rows are cut into blocks, so no task sees all of them.
+    rows of a missing key are null. Rows are cut into blocks, so no task sees all of them, or all of a hot group.
     """
     need(df, [column], "Column")
     name, keys, w = function.upper(), names(group_by), int(window_size)
@@ -57,17 +57,9 @@ def rolling_statistics(df: DataFrame, column: str, window_size: int = 3, functio
         frame = window.rowsBetween(-before, after)
         return F.when(F.count("__x").over(frame) == w, AGGREGATES[name]("__x").over(frame))
 
-    if keys:
-        own = Window.partitionBy(*map(col, keys)).orderBy(ORD)
-        filled = col(keys[0]).isNotNull()
-        for k in keys[1:]:
-            filled = filled & col(k).isNotNull()
-        value = F.when(F.col("__x").isNotNull(), F.sum("__x").over(own.rowsBetween(Window.unboundedPreceding, 0))) if name == "CUMSUM" else full(own)
-        result = df.withColumn(out, F.when(filled, value))
-    elif name == "CUMSUM":
-        result = running_sum(df, "__x", out)
-    else:
-        result = framed(df, {out: full}, before, after)
+    result = running_sum(df, "__x", out, keys=keys) if name == "CUMSUM" else framed(df, {out: full}, before, after, keys=keys)
+    for k in keys:
+        result = result.withColumn(out, F.when(col(k).isNotNull(), col(out)))
     return result.drop("__x") if hidden else result.drop("__x", ORD)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.functions.storage import written
+from weftline.functions.storage import shared_folder, written
 from weftline.operators import badrows, drift, orphans, profiles
 from weftline.operators.keys import term_list, with_keys
 
@@ -157,6 +158,29 @@ def p5_schema(spark: SparkSession, folder: str) -> DataFrame:
     return drift.union_schema(columns.join(files.where("series_id is not null"), "file_id"))
 
 
+def _drifting(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The loads of dataset_stats as files of three shapes: as they are, a column renamed, added and of another
+    type, and as text without one column."""
+    base = f"{shared_folder(spark).rstrip('/')}/drifting-{uuid.uuid4().hex}"
+    stats = table(spark, folder, "dataset_stats").select("dataset_id", "load_no", "row_count")
+    third = F.col("dataset_id") % 3
+    shapes = [stats.where(third == 0), stats.where(third == 1).select("dataset_id", (F.col("load_no") + 0.5).alias("load"), "row_count", F.lit(True).alias("checked")), stats.where(third == 2).select("dataset_id", "load_no")]
+    for n, df in enumerate(shapes):
+        (df.write.option("header", True).csv if n == 2 else df.write.parquet)(f"{base}/{n}")
+    paths = [f for n in range(3) for f in sorted((spark.read.text if n == 2 else spark.read.parquet)(f"{base}/{n}").inputFiles())]
+    return drift.read_drifting(spark, paths, {"load": "load_no"})
+
+
+def p5_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of different shapes as one table in the union schema."""
+    return _drifting(spark, folder)[0].drop("file_path")
+
+
+def p5_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The kinds of change between such files."""
+    return _drifting(spark, folder)[1].select("change_kind", "key").distinct()
+
+
 # --- 6: references to records that do not exist ------------------------------------------------------
 
 
@@ -185,7 +209,7 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p1_found, p1_reasons, p1_values, p3_found, p3_profile, p3_counts, p3_changes, p5_found, p5_changes, p5_schema, p6_found, p6_counts]
+    own = [p1_found, p1_reasons, p1_values, p3_found, p3_profile, p3_counts, p3_changes, p5_found, p5_changes, p5_schema, p5_read, p5_log, p6_found, p6_counts]
     return {f.__name__: f for f in own}
 
 
@@ -213,6 +237,9 @@ WHOLE = r"'^[ \t]*[+-]?[0-9]+[ \t]*$'"
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_counts": _counts_sql(),
+        "p5_read": """SELECT dataset_id::VARCHAR AS dataset_id, CASE WHEN dataset_id % 3 = 1 THEN (load_no + 0.5)::VARCHAR ELSE load_no::VARCHAR END AS load_no,
+            CASE WHEN dataset_id % 3 <> 2 THEN row_count END AS row_count, CASE WHEN dataset_id % 3 = 1 THEN true END AS checked FROM dataset_stats""",
+        "p5_log": "SELECT * FROM (VALUES ('renamed', 'load_no'), ('retyped', 'load_no'), ('added', 'checked'), ('removed', 'checked'), ('removed', 'row_count'), ('retyped', 'dataset_id')) AS x(change_kind, key)",
         "p6_counts": _orphan_counts_sql(),
         "p6_found": r"""
             WITH port AS (SELECT port_key, graph_id, source_ref, min(loaded_at) AS at FROM input_port_specs WHERE source_ref IS NOT NULL GROUP BY ALL),

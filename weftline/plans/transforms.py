@@ -134,6 +134,12 @@ def k_sample(s, d):
     return rows.sample_rows(t(s, d, "events"), fraction=0.05, seed=3)
 
 
+@query("SELECT round(0.05 * count(*))::BIGINT AS n, round(0.05 * count(*))::BIGINT AS events FROM events")
+def k_sample_size(s, d):
+    """A sample is of the exact size, and draws no row twice."""
+    return rows.sample_rows(t(s, d, "events"), fraction=0.05, seed=3).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
+
+
 # --- aggregations ----------------------------------------------------------------------------------
 
 
