@@ -11,27 +11,31 @@ BLOCK = 256
 SMALL = 100_000
 
 
+def block_of(order: str, block: int = BLOCK) -> Column:
+    return F.floor(F.col(order) / block)
+
+
 def previous(df: DataFrame, keys: list[str], order: str, values: list[str], name: str = "prev", block: int = BLOCK) -> DataFrame:
     """``df`` with the struct ``name`` of ``order`` and ``values`` of the row before, or null.
 
     ``order`` is a whole number that is unique within ``keys``. A window over the keys alone would put
     all rows of a hot key into one task. Instead rows are cut into blocks of ``block`` consecutive order
     values, the window runs over (keys, block), and only the last row of each block, one in up to
-    ``block`` rows, goes through a second window over the keys, to serve the next block's first row.
-    Rows with null keys are grouped together, rows of null order come first.
+    ``block`` rows, goes through a second window over the keys, to serve the next block's first row, which
+    alone is joined. Rows with null keys are grouped together, rows of null order come first. A table that
+    has the column ``_block`` already is not shuffled again if it is partitioned by it and some of the keys.
     """
     held = F.struct(order, *values)
-    cut = df.withColumn("_block", F.floor(F.col(order) / block))
+    cut = df if "_block" in df.columns else df.withColumn("_block", block_of(order, block))
     inner = Window.partitionBy(*keys, "_block").orderBy(order)
     cut = cut.withColumn("_before", F.lag(held).over(inner)).withColumn("_first", F.row_number().over(inner) == 1)
     edges = cut.groupBy(*keys, "_block").agg(F.max_by(held, F.coalesce(F.col(order), F.lit(-(2**62)))).alias("_edge"))
     edges = edges.withColumn("_edge", F.lag("_edge").over(Window.partitionBy(*keys).orderBy("_block")))
-    edges = edges.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_block").alias("_kb"), "_edge")
-    on: Column = cut["_block"].eqNullSafe(edges["_kb"])
-    for n, k in enumerate(keys):
-        on &= cut[k].eqNullSafe(edges[f"_k{n}"])
-    joined = cut.join(edges, on, "left")
-    return joined.withColumn(name, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_before"))).drop("_block", "_before", "_first", "_edge", "_kb", *[f"_k{n}" for n in range(len(keys))])
+    edges = edges.select(*_aliased(keys, "_k"), F.col("_block").alias("_kb"), "_edge").where("_edge is not null")
+    first = cut.where("_first")
+    joined = first.join(edges, first["_block"].eqNullSafe(F.col("_kb")) & _same(keys, "_k"), "left")
+    own = [*[F.col(f"`{c}`") for c in df.columns if c != "_block"]]
+    return joined.select(*own, F.col("_edge").alias(name)).unionByName(cut.where("not _first").select(*own, F.col("_before").alias(name)))
 
 
 def with_order(df: DataFrame, column: str) -> DataFrame:

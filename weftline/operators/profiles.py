@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from weftline.functions.ordered import previous
+from weftline.functions.ordered import block_of, previous
 
 COUNT_COLUMNS = ["column_name", "column_type", "value", "n"]
 
@@ -187,9 +187,16 @@ def field_history(fields: DataFrame, stats: DataFrame) -> DataFrame:
     """The records of fields, once each, with their load's row_count and ``wrong``: the reason why a record
     can't be true of a load of that size, or null. Records whose load is missing or has a null or negative
     row_count have ``judged`` false."""
-    records = fields.select("dataset_id", "load_no", "field_id", "data_type", "min_value", "max_value", "is_unique", "distinct_count", "null_count", "uniques").distinct()
-    loads = stats.select("dataset_id", "load_no", "row_count").distinct()
-    r = records.join(loads, ["dataset_id", "load_no"], "left").withColumn("judged", _yes(F.col("row_count") >= 0))
+    # one shuffle serves the removal of repeats, the look at the load's size and the window that follows: rows of a
+    # data set are cut by blocks of loads and by fields, and the sizes of its loads go to all of its cuts
+    cuts = 16
+    own = ["dataset_id", "load_no", "field_id", "data_type", "min_value", "max_value", "is_unique", "distinct_count", "null_count", "uniques"]
+    records = fields.select(*own, F.lit(None).cast("bigint").alias("row_count"), F.lit(False).alias("_size"), F.pmod(F.xxhash64("field_id"), F.lit(cuts)).alias("_cut"))
+    sizes = stats.select("dataset_id", "load_no", F.col("row_count").cast("bigint").alias("row_count"), F.lit(True).alias("_size"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cuts - 1).cast("bigint"))).alias("_cut")).where("dataset_id is not null and load_no is not null")
+    both = records.unionByName(sizes, allowMissingColumns=True).withColumn("_block", block_of("load_no"))
+    both = both.repartition("dataset_id", "_block", "_cut").distinct()
+    load = Window.partitionBy("dataset_id", "_block", "_cut", "load_no")
+    r = both.withColumn("row_count", F.max("row_count").over(load)).where("not _size").drop("_size").withColumn("judged", _yes(F.col("row_count") >= 0))
     r = r.select("*", *_bound("min_value"), *_bound("max_value"))
     n, full = F.col("row_count"), F.col("row_count") - F.col("null_count")
     ranged = F.col("data_type").isin(RANGED)
@@ -215,7 +222,7 @@ def audit_fields(fields: DataFrame, stats: DataFrame) -> DataFrame:
     """
     r = field_history(fields, stats)
     kept = ["data_type", "row_count", "null_count", "distinct_count", "uniques", "judged", "wrong", "min_value_i", "min_value_f", "max_value_i", "max_value_f"]
-    p = previous(r, ["dataset_id", "field_id"], "load_no", kept)
+    p = previous(r, ["dataset_id", "field_id", "_cut"], "load_no", kept)
     p = p.select("*", *[F.col(f"prev.{k}").alias(f"p_{k}") for k in kept])
     fit = F.col("judged") & F.col("wrong").isNull() & _yes(F.col("p_judged")) & F.col("p_wrong").isNull() & (F.col("data_type") == F.col("p_data_type"))
     shares = F.abs(F.col("null_count") / F.expr("nullif(row_count, 0)") - F.col("p_null_count") / F.expr("nullif(p_row_count, 0)"))
