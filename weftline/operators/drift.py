@@ -72,18 +72,13 @@ def changes(files: DataFrame, columns: DataFrame) -> DataFrame:
     """
     f = files.select("file_id", "series_id", "period_no").where("series_id is not null and period_no is not null").distinct()
     pairs = previous(f, ["series_id"], "period_no", ["file_id"]).where("prev is not null").select("file_id", F.col("prev.file_id").alias("before_id"))
-    cols = columns.select("column_id", "file_id", "key", "name", "data_type", "position")
-    pick = ["column_id", "key", "name", "data_type", "position"]
-    later = cols.join(pairs.select("file_id"), "file_id").select("file_id", *pick)
-    earlier = cols.withColumnRenamed("file_id", "before_id").join(pairs, "before_id").select("file_id", *pick)
+    # a file's columns are the new ones of itself and the old ones of the file after it
+    sides = pairs.select(F.col("file_id").alias("_of"), "file_id", F.lit(True).alias("_new")).unionByName(pairs.select(F.col("before_id").alias("_of"), "file_id", F.lit(False).alias("_new")))
+    item = F.struct("name", "position", "column_id", "data_type").alias("item")
+    both = columns.select(F.col("file_id").alias("_of"), "key", item).join(sides, "_of").select("file_id", "key", "_new", "item")
     # bounded groups: the columns of two files that share a key
-    item = F.struct("name", "position", "column_id", "data_type")
-    a = later.groupBy("file_id", "key").agg(F.sort_array(F.collect_list(item)).alias("new"))
-    b = earlier.groupBy("file_id", "key").agg(F.sort_array(F.collect_list(item)).alias("old"))
-    both = a.join(b, ["file_id", "key"], "full")
+    both = both.groupBy("file_id", "key").agg(F.sort_array(F.collect_list(F.when(F.col("_new"), F.col("item")))).alias("new"), F.sort_array(F.collect_list(F.when(~F.col("_new"), F.col("item")))).alias("old"))
     gone = lambda x, y: F.filter(x, lambda i: ~F.coalesce(F.exists(y, lambda j: j["name"].eqNullSafe(i["name"])), F.lit(False)))
-    empty = lambda c: F.coalesce(F.col(c), F.filter(F.col("new" if c == "old" else "old"), lambda _: F.lit(False)))
-    both = both.withColumn("old", empty("old")).withColumn("new", empty("new"))
     both = both.withColumn("old", F.concat(F.filter("old", lambda i: F.exists("new", lambda j: j["name"].eqNullSafe(i["name"]))), gone(F.col("old"), F.col("new")))).withColumn(
         "new", F.concat(F.filter("new", lambda i: F.exists("old", lambda j: j["name"].eqNullSafe(i["name"]))), gone(F.col("new"), F.col("old")))
     )
