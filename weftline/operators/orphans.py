@@ -152,8 +152,9 @@ def advance(state: Orphans, refs: DataFrame, parents: DataFrame, until: dt.datet
     return replace(state, until=until)
 
 
-def replay(refs: DataFrame, parents: DataFrame, step: str = "month") -> Orphans:
-    """The state after a history that is loaded batch by batch, one for each ``step`` of time.
+def replay(refs: DataFrame, parents: DataFrame, step: str = "month", most: int | None = None) -> Orphans:
+    """The state after a history that is loaded batch by batch, one for each ``step`` of time, or, if there are
+    more than ``most``, for as many steps in a row as make that number of batches.
 
     Times of references and starts of parents place a row in its batch; rows without one are left out. The
     history is cut into batches by one write of each table, so that each batch reads its own rows only.
@@ -172,9 +173,11 @@ def replay(refs: DataFrame, parents: DataFrame, step: str = "month") -> Orphans:
     read = {n: spark.read.schema(x.add("step", "string")).parquet(f"{folder}/{n}") for n, x in schema.items()}
     steps = sorted({r.step for d in read.values() for r in d.select("step").distinct().collect()})  # periods, from the names of folders
     state = empty(refs, folder)
-    ends = [dt.datetime.fromisoformat(s) - dt.timedelta(microseconds=1) for s in steps[1:]] + [None]
-    for at, end in zip(steps, ends):
-        state = advance(state, *[read[n].where(F.col("step") == at).drop("step") for n in ("new-refs", "new-parents")], end)
+    many = -(-len(steps) // (most or len(steps))) if steps else 1
+    for n in range(0, len(steps), many):
+        own, later = steps[n : n + many], steps[n + many : n + many + 1]
+        end = dt.datetime.fromisoformat(later[0]) - dt.timedelta(microseconds=1) if later else None
+        state = advance(state, *[read[n].where(F.col("step").isin(own)).drop("step") for n in ("new-refs", "new-parents")], end)
     return state
 
 

@@ -196,7 +196,7 @@ def _orphans(spark: SparkSession, folder: str) -> orphans.Orphans:
         .unionByName(outputs.select("graph_id", "output_id", "loaded_at", "deleted_at").toDF(*pick))
         .where("key is not null")
     )
-    return orphans.replay(refs, parents, "quarter")
+    return orphans.replay(refs, parents, "month", 4)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
