@@ -375,6 +375,49 @@ def w_forecast(s, d):
     return series.forecast_time_series(daily, "day", "price", 14)
 
 
+# --- the same on the largest table ------------------------------------------------------------------------------
+
+_LINES = "(SELECT l_orderkey * 8 + l_linenumber + l_extendedprice / 1000000 AS line, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_linestatus FROM lineitem)"
+
+
+def _lines(s, d):
+    return with_order(t(s, d, "lineitem").withColumn("line", F.col("l_orderkey") * 8 + F.col("l_linenumber") + F.col("l_extendedprice") / 1000000), "line")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_extendedprice FROM {_LINES} ORDER BY l_extendedprice DESC, line LIMIT 10")
+def b_top_n(s, d):
+    return plain(rows.get_top_n(_lines(s, d), "l_extendedprice", 10)).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_extendedprice, lag(l_quantity) OVER (ORDER BY line) AS before FROM {_LINES}")
+def b_lag(s, d):
+    return plain(series.lag_lead(_lines(s, d), "l_quantity", 1, "before")).select("l_orderkey", "l_linenumber", "l_extendedprice", "before")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_extendedprice, sum(l_quantity::BIGINT) OVER (ORDER BY line)::BIGINT AS total FROM {_LINES}")
+def b_cumsum(s, d):
+    e = _lines(s, d).withColumn("whole", F.col("l_quantity").cast("bigint"))
+    return plain(series.rolling_statistics(e, "whole", 1, "CUMSUM", output_column="total")).select("l_orderkey", "l_linenumber", "l_extendedprice", "total")
+
+
+@query(f"""SELECT 'Total' AS target, '' AS source, count(*) AS count, sum(l_linenumber)::BIGINT AS value, sum(l_linenumber)::BIGINT AS l_linenumber FROM {_LINES}
+  UNION ALL SELECT l_returnflag, 'Total', count(*), sum(l_linenumber)::BIGINT, sum(l_linenumber)::BIGINT FROM {_LINES} GROUP BY l_returnflag
+  UNION ALL SELECT l_returnflag || '/' || l_linestatus, l_returnflag, count(*), sum(l_linenumber)::BIGINT, sum(l_linenumber)::BIGINT FROM {_LINES} GROUP BY l_returnflag, l_linestatus""")
+def b_rollup(s, d):
+    return aggregate.hierarchical_rollup(t(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"), ["l_returnflag", "l_linestatus"], "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_extendedprice > a)::INT + (l_extendedprice > b)::INT + (l_extendedprice > c)::INT AS level FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.25) a, quantile_cont(l_extendedprice, 0.5) b, quantile_cont(l_extendedprice, 0.75) c FROM lineitem)")
+def b_quantiles(s, d):
+    return maths.discretize(t(s, d, "lineitem"), "l_extendedprice", 4, "quantile", "level").select("l_orderkey", "l_linenumber", "level")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def b_join(s, d):
+    o = t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    return multi.join([t(s, d, "lineitem").select("l_orderkey", "l_linenumber"), o], on="l_orderkey")
+
+
 # --- JSON, labels, places, code -------------------------------------------------------------------------------
 
 

@@ -25,9 +25,19 @@ def text_or_null(c: Column) -> Column:
     return F.when(~F.lower(t).isin(NULL_TEXTS), t)
 
 
+def _shape(form: str) -> str:
+    """The regular expression of what a date format can read."""
+    parts = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "mm": r"\d{2}", "ss": r"\d{2}", "MM": r"\d{2}", "dd": r"\d{2}", "d": r"\d{1,2}", "M": r"\d{1,2}", "H": r"\d{1,2}"}
+    return "^" + re.sub("|".join(parts), lambda m: parts[m[0]], form.replace(".", r"\.")) + "$"
+
+
 def _stamp(t: Column, formats: list[str]) -> Column:
+    """A text as a time. Only texts of a format's shape are parsed by it, as a failure costs much more than a look."""
     iso = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.to_utc_timestamp(t.try_cast("timestamp"), "UTC").cast("timestamp_ntz"))
-    return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in [*formats, "yyyy/M/d", "yyyy/M/d H:mm:ss"]])
+    return F.coalesce(iso, *[F.when(t.rlike(_shape(f)), F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz")) for f in [*formats, "yyyy/M/d", "yyyy/M/d H:mm:ss"]])
+
+
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
 
 
 def _in_years(c: Column) -> Column:
@@ -44,27 +54,30 @@ def infer_types(df: DataFrame) -> DataFrame:
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     epochs = [f.name for f in df.schema if is_number(f.dataType) and re.search(r"date|time", f.name, re.I)]
     aggs = []
-    for n, c in enumerate(texts):
-        t = text_or_null(col(c))
-        number = t.try_cast("double")
-        first, second = F.regexp_extract(t, r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{4}", 1), F.regexp_extract(t, r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{4}", 2)
+    # cleaned once, in a step of its own
+    dated = lambda t: F.when(t.rlike(r"\d{4}") & ~t.rlike(NUMBER), t)  # noqa: E731, no other text can be a date
+    base = df.select(*[x for n, c in enumerate(texts) for t in [text_or_null(col(c))] for x in (t.alias(f"t{n}"), dated(t).alias(f"d{n}"))], *[col(c).alias(f"e{n}") for n, c in enumerate(epochs)])
+    for n in range(len(texts)):
+        t, d = F.col(f"t{n}"), F.col(f"d{n}")
+        number = F.when(t.rlike(NUMBER), t.try_cast("double"))
+        first, second = F.regexp_extract(d, r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{4}", 1), F.regexp_extract(d, r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{4}", 2)
         compact = F.when(t.rlike(r"^\d{8}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd")))
         aggs += [
             F.count(t).alias(f"n{n}"),
             F.count(number).alias(f"num{n}"),
-            F.count_if((number == F.floor(number)) & t.try_cast("decimal(38,6)").isNotNull()).alias(f"whole{n}"),
+            F.count_if((number == F.floor(number)) & (F.abs(number) < 1e32)).alias(f"whole{n}"),
             F.count_if(_in_years(compact)).alias(f"compact{n}"),
-            F.count_if(_in_years(_stamp(t, DAY_FIRST))).alias(f"day{n}"),
-            F.count_if(_in_years(_stamp(t, MONTH_FIRST))).alias(f"month{n}"),
+            F.count_if(_in_years(_stamp(d, DAY_FIRST))).alias(f"day{n}"),
+            F.count_if(_in_years(_stamp(d, MONTH_FIRST))).alias(f"month{n}"),
             F.count_if(first.try_cast("int") > 12).alias(f"dayfirst{n}"),
             F.count_if(second.try_cast("int") > 12).alias(f"monthfirst{n}"),
             F.count_if(F.lower(t).isin("true", "false", "yes", "no", "0", "1")).alias(f"bool{n}"),
         ]
-    for n, c in enumerate(epochs):
-        aggs += [F.min(col(c)).alias(f"lo{n}"), F.max(col(c)).alias(f"hi{n}")]
+    for n in range(len(epochs)):
+        aggs += [F.min(f"e{n}").alias(f"lo{n}"), F.max(f"e{n}").alias(f"hi{n}")]
     if not aggs:
         return df
-    found = df.agg(*aggs).first()
+    found = base.agg(*aggs).first()
     out: dict[str, Column] = {}
     for n, c in enumerate(texts):
         t, total = text_or_null(col(c)), found[f"n{n}"]
@@ -74,9 +87,8 @@ def infer_types(df: DataFrame) -> DataFrame:
             out[c] = F.try_to_timestamp(F.when(t.rlike(r"^\d{8}$"), t), F.lit("yyyyMMdd")).cast("timestamp_ntz")
         elif enough("num"):
             whole = found[f"whole{n}"] == found[f"num{n}"]
-            out[c] = t.try_cast("double").try_cast("bigint") if whole else F.when(~F.isnan(t.try_cast("double")), t.try_cast("double"))
-            if whole:
-                out[c] = F.coalesce(t.try_cast("bigint"), out[c])
+            number = F.when(t.rlike(NUMBER), t.try_cast("double"))
+            out[c] = F.coalesce(F.when(t.rlike(NUMBER), t.try_cast("bigint")), number.try_cast("bigint")) if whole else number
         elif enough("day" if formats is DAY_FIRST else "month"):
             out[c] = _stamp(t, formats)
         elif total >= LEAST_VALUES and found[f"bool{n}"] == total:
