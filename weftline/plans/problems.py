@@ -89,7 +89,7 @@ def _profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The profile of every column of the large tables."""
-    return _profiles(spark, folder)
+    return _profiles(spark, folder).withColumns({c: F.round(c, 4) for c in ("null_rate", "entropy")})
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,6 +119,31 @@ def _counts_sql() -> str:
     return "\nUNION ALL\n".join(one.format(t=t, c=c) for t, cs in PROFILED_COLUMNS.items() for c in cs.split())
 
 
+def _profile_sql() -> str:
+    """Profiles with ranges, types and violations, from the tables themselves."""
+    parts = []
+    for name, columns in PROFILED_COLUMNS.items():
+        for c in columns.split():
+            pattern = PATTERNS.get(c)
+            if pattern is None:
+                bad = "NULL::BIGINT"
+            elif pattern == READABLE:  # the pattern looks ahead, which this SQL's expressions can't
+                seen, control = r"[^\s\p{Z}]", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FFFD}]"
+                bad = f"count(*) FILTER ({c} IS NOT NULL AND NOT (regexp_matches({c}, '{seen}') AND NOT regexp_matches({c}, '{control}')))"
+            else:
+                java = pattern.replace("$", r"\n?\z").replace("'", "''")
+                bad = f"count(*) FILTER ({c} IS NOT NULL AND NOT regexp_matches({c}, '{java}'))"
+            text = f"CASE WHEN {c} IS NULL THEN NULL WHEN typeof({c}) LIKE '%[]' THEN to_json({{'v': {c}}})::VARCHAR ELSE {c}::VARCHAR END"
+            bounds = [f"CASE WHEN any_value(typeof({c})) LIKE '%[]' THEN {f}({text}) ELSE {f}({c})::VARCHAR END" for f in ("min", "max")]
+            kind = "CASE any_value(typeof({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR[]' THEN 'array<string>' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END".format(c=c)
+            parts.append(
+                f"""SELECT '{name}' AS table_name, '{c}' AS column_name, {kind} AS column_type, count(*) AS row_count, count(*) - count({c}) AS null_count,
+                round((count(*) - count({c})) / count(*), 4) AS null_rate, count(DISTINCT {c}) AS distinct_count, {bounds[0]} AS min_value, {bounds[1]} AS max_value,
+                round(coalesce(entropy({c}), 0), 4) AS entropy, {bad} AS violations FROM {name}"""
+            )
+    return "\nUNION ALL\n".join(parts)
+
+
 def p3_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Distance of every column of the large tables between each load and the load before.
 
@@ -237,6 +262,7 @@ WHOLE = r"'^[ \t]*[+-]?[0-9]+[ \t]*$'"
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_counts": _counts_sql(),
+        "p3_profile": _profile_sql(),
         "p5_read": """SELECT dataset_id::VARCHAR AS dataset_id, CASE WHEN dataset_id % 3 = 1 THEN (load_no + 0.5)::VARCHAR ELSE load_no::VARCHAR END AS load_no,
             CASE WHEN dataset_id % 3 <> 2 THEN row_count END AS row_count, CASE WHEN dataset_id % 3 = 1 THEN true END AS checked FROM dataset_stats""",
         "p5_log": "SELECT * FROM (VALUES ('renamed', 'load_no'), ('retyped', 'load_no'), ('added', 'checked'), ('removed', 'checked'), ('removed', 'row_count'), ('retyped', 'dataset_id')) AS x(change_kind, key)",
