@@ -123,3 +123,16 @@ def test_long_values_are_whole(spark):
     assert (p.min_value, p.max_value, p.distinct_count, p.violations) == (min(texts), max(texts), 3, 1)
     less = P.apply_delta(P.value_counts(df), P.value_counts(df.where("v like '%!'"), sign=-1))
     assert by_name(P.profile(less))["v"].max_value == texts[1]
+
+
+def test_state_is_kept_between_sessions(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, None)], "k int, v string")
+    b = spark.createDataFrame([(2, "y"), (3, "z")], "k int, v string")
+    from weftline.operators import profiles
+
+    profiles.State(spark, str(tmp_path)).add("a", profiles.value_counts(a)).add("b", profiles.value_counts(b))
+    later = profiles.State(spark, str(tmp_path)).add("b", profiles.value_counts(b))  # delivered again: not counted twice
+    got = {r.column_name: (r.row_count, r.null_count, r.distinct_count, r.min_value, r.max_value) for r in profiles.profile(later.counts()).collect()}
+    assert got == {"k": (5, 0, 3, "1", "3"), "v": (5, 1, 3, "x", "z")}
+    gone = later.add("c", profiles.value_counts(a, sign=-1))
+    assert {r.column_name: (r.row_count, r.distinct_count) for r in profiles.profile(gone.counts()).collect()} == {"k": (2, 2), "v": (2, 2)}

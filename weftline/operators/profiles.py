@@ -10,7 +10,7 @@ partial sum per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from weftline.functions.ordered import block_of, previous
 
@@ -58,6 +58,29 @@ def apply_delta(state: DataFrame | None, *deltas: DataFrame, by: tuple[str, ...]
     return out.groupBy(*by, "column_name", "column_type", "value").agg(F.sum("n").alias("n")).where("n != 0")
 
 
+class State:
+    """Value counts kept in a folder: one set of signed counts per delivery, nothing is ever rewritten.
+
+    A delivery costs its own size; profiles are sums over all deliveries. A delivery that is added again under its
+    name replaces what it brought before, so that a job that is repeated counts nothing twice. A later
+    session opens the same folder and goes on.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def add(self, delivery: str, deltas: DataFrame) -> State:
+        """``deltas``: value counts with the same columns for all deliveries (load, and columns that tell tables apart)."""
+        deltas.write.mode("overwrite").parquet(f"{self.folder}/delivery={delivery}")
+        return self
+
+    def deltas(self) -> DataFrame:
+        return self.spark.read.parquet(self.folder).drop("delivery")
+
+    def counts(self, by: tuple[str, ...] = ()) -> DataFrame:
+        return apply_delta(None, self.deltas(), by=by)
+
+
 INTS = ["tinyint", "smallint", "int", "bigint"]
 FLOATS = ["float", "double"]
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.functions.storage import shared_folder, written
+from weftline.functions.storage import shared_folder, side_by_side, written
 from weftline.operators import badrows, drift, orphans, profiles
 from weftline.operators.keys import term_list, with_keys
 
@@ -69,8 +69,13 @@ PATTERNS |= {
 LOADS = {"cell_references": "period_no", "spreadsheet_maps": "period_no", "dataset_stats": "load_no", "field_metadata": "load_no"}
 
 
-def _value_counts(spark: SparkSession, folder: str) -> DataFrame:
+def _value_counts(spark: SparkSession, folder: str) -> profiles.State:
     """The signed value counts that each load brought to each column of the large tables, kept in the shared folder."""
+    state = profiles.State(spark, f"{shared_folder(spark).rstrip('/')}/value-counts-{uuid.uuid4().hex}")
+
+    def deliver(name: str, deltas: DataFrame) -> None:
+        state.add(name, deltas)
+
     parts = []
     for name in PROFILED:
         rows = table(spark, folder, name)
@@ -78,13 +83,14 @@ def _value_counts(spark: SparkSession, folder: str) -> DataFrame:
         if name == "cell_references":
             rows = rows.join(table(spark, folder, "spreadsheet_maps").groupBy("map_id").agg(F.min("period_no").alias("period_no")), "map_id", "left")
         load = F.col(LOADS[name]) if name in LOADS else F.year("loaded_at") * 100 + F.month("loaded_at")
-        parts.append(profiles.value_counts(rows, columns, load=load.cast("int")).select(F.lit(name).alias("table_name"), "*"))
-    return written(reduce(DataFrame.unionByName, parts), "value-counts")
+        parts.append((name, profiles.value_counts(rows, columns, load=load.cast("int")).select(F.lit(name).alias("table_name"), "*")))
+    side_by_side(*[partial(deliver, name, deltas) for name, deltas in parts])
+    return state
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
     by = ("table_name",)
-    return profiles.profile(profiles.apply_delta(None, _value_counts(spark, folder), by=by), PATTERNS, by)
+    return profiles.profile(_value_counts(spark, folder).counts(by), PATTERNS, by)
 
 
 def p3_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +155,7 @@ def p3_changes(spark: SparkSession, folder: str) -> DataFrame:
 
     A load is a period of the files, a load_no of the data sets, or the month of loaded_at.
     """
-    return profiles.load_changes(_value_counts(spark, folder), ("table_name",))
+    return profiles.load_changes(_value_counts(spark, folder).deltas(), ("table_name",))
 
 
 # --- 5: schemas that drift --------------------------------------------------------------------------
