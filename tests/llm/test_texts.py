@@ -5,6 +5,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import canonical, harmful, lookalikes as K, packing, tokens
 
@@ -236,5 +237,9 @@ def test_harmful_tables(spark, tmp_path):
     r = {x.source: x.documents for x in harmful.rates(got).collect()}
     assert r == {None: 31, "web": 31}
     assert harmful.score_documents(docs.limit(0), model).count() == 0
+    twice = reviews.unionByName(reviews.withColumn("reviewer", F.lit("again")))
+    q = harmful.quality(docs, twice, 80).first()
+    assert q.documents == 49 and q.harmful == q.right and q.recall == 1.0 and q.precision > 0.8
     one = tables(spark, ["x"], [1])
+    assert harmful.quality(one[0], one[1]).first().documents == 0
     assert harmful.train(*one).score(["x"])[0] <= 0 and harmful.train(one[0], one[1].limit(0)).score(["x"])[0] <= 0

@@ -350,8 +350,14 @@ def _root(landmarks: list[str]) -> tuple[Features, np.ndarray]:
 
 
 def train(documents: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, most: int = MAX_LABELLED) -> Model:
-    """A model from the labelled documents. All work is done in tasks; the driver holds the landmarks and
-    the finished weights.
+    """A model from the labelled documents, as of train_and_judge."""
+    return train_and_judge(documents, labels, landmarks, most)[0]
+
+
+def train_and_judge(documents: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, most: int = MAX_LABELLED) -> tuple[Model, DataFrame | None]:
+    """A model from the labelled documents, and ``id, score`` of each by a model of the second round that hasn't
+    seen it (None where there is nothing to learn from). All work is done in tasks; the driver holds the landmarks
+    and the finished weights.
 
     Some labels are wrong, so documents are first scored by models that haven't seen them (one task for
     each fold); where such a score contradicts the label by more than DOUBT (harmful) or SURE (harmless),
@@ -361,7 +367,7 @@ def train(documents: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, m
     flat = written(labelled_sentences(documents, labels, most), "harm-sentences")
     kinds = {r.harmful for r in flat.select("harmful").distinct().collect()}
     if len(kinds) < 2:
-        return Model(np.zeros(SIZE + 1, np.float32), -1.0, 0.0)
+        return Model(np.zeros(SIZE + 1, np.float32), -1.0, 0.0), None
     chosen = find_landmarks(flat, landmarks)
     width = len(chosen)
 
@@ -397,7 +403,20 @@ def train(documents: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, m
     first = written(scored(placed()), "harm-held")
     second = written(scored(placed(first)), "harm-held")
     row = placed(first, second).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(finish, "weights binary, offset double, threshold double").first()
-    return Model(np.frombuffer(row.weights, np.float32), row.offset, row.threshold)
+    return Model(np.frombuffer(row.weights, np.float32), row.offset, row.threshold), second
+
+
+def quality(documents: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS) -> DataFrame:
+    """One row: ``documents, harmful, found, right, precision, recall`` on labelled documents that several reviewers
+    agree about, each scored by a model that hasn't seen it. Reviewed documents are not as others: harmful ones
+    are several times as frequent among them, so precision on a whole corpus is another."""
+    model, held = train_and_judge(documents, labels, landmarks)
+    votes = labels.where("is_harmful is not null").select("doc_id", "reviewer", "is_harmful").distinct().groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("is_harmful").alias("share"))
+    sure = votes.where("n > 1 and share in (0, 1)").select("doc_id", (F.col("share") == 1).alias("y"))
+    held = held if held is not None else sure.select(F.col("doc_id").alias("id"), F.lit(-1.0).alias("score")).limit(0)
+    judged = sure.join(held, F.col("doc_id") == F.col("id")).select("y", (F.col("score") > model.threshold).alias("p"))
+    counts = judged.agg(F.count("*").alias("documents"), F.count_if("y").alias("harmful"), F.count_if("p").alias("found"), F.count_if(F.col("y") & F.col("p")).alias("right"))
+    return counts.select("*", (F.col("right") / F.expr("nullif(found, 0)")).alias("precision"), (F.col("right") / F.expr("nullif(harmful, 0)")).alias("recall"))
 
 
 def saved_model(documents: DataFrame, labels: DataFrame, key: str) -> Model:

@@ -104,8 +104,13 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return harmful.rates(written(_scored(spark, folder).distinct(), "scores"))
 
 
+def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out accuracy on the documents that several reviewers agree about."""
+    return harmful.quality(table(spark, folder, "documents"), table(spark, folder, "content_labels"))
+
+
 def queries() -> dict:
-    own = [p2_found, p2_plain, p4_found, p4_unmatched, p7_ids, p7_counts, p8_containers, p8_fill, p9_found, p9_scores, p9_rates]
+    own = [p2_found, p2_plain, p4_found, p4_unmatched, p7_ids, p7_counts, p8_containers, p8_fill, p9_found, p9_scores, p9_rates, p9_quality]
     return {f.__name__: f for f in own}
 
 
