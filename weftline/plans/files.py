@@ -870,13 +870,15 @@ def r_promote(s, d):
     return p.get_dataset("sums_out")
 
 
-@query("SELECT * FROM (VALUES ('node_running'), ('node_completed')) AS x(event)")
+@query("SELECT * FROM (VALUES ('node_pending', 4, 1), ('node_running', 4, 2), ('node_completed', 4, 3)) AS x(event, nodes, place)")
 def r_events(s, d):
+    """Every node is pending, then compiled, then completed once its rows are written."""
     p, _ = _pipeline(s, d)
     seen: list[str] = []
     p.subscribe(lambda e, what: seen.append(e))
-    p.run(lazy=True)
-    return s.createDataFrame([(e,) for e in dict.fromkeys(seen) if e.startswith("node_")], "event string")
+    p.run(stats=False)
+    own = [e for e in seen if e.startswith("node_")]
+    return s.createDataFrame([(e, own.count(e), n) for n, e in enumerate(dict.fromkeys(own), 1)], "event string, nodes int, place int")
 
 
 @query("SELECT 1 AS runs, true AS same, 0 AS left_over")
@@ -896,13 +898,15 @@ def r_lifecycle(s, d):
     return s.createDataFrame([(runs, same, len(p.spec.nodes))], "runs int, same boolean, left_over int")
 
 
-@query("SELECT count(*)::INT AS registered, 2 AS removed FROM (VALUES ('a.csv'), ('b.json'), ('c.parquet')) AS x(f)")
+@query("SELECT count(*)::INT AS registered, count(*)::INT AS counted, 2 AS removed, 1 AS left_over FROM (VALUES ('a.csv'), ('b.json'), ('c.parquet')) AS x(f)")
 def r_register(s, d):
     from weftline.session import Pipeline
 
     p = Pipeline(s, local(place(s)))
     ids = p.register_files(["a.csv", "b.json", "c.parquet", "a.csv"])
-    return s.createDataFrame([(len(ids), p.remove_files(["a.csv", "c.parquet", "none"]))], "registered int, removed int")
+    counted = p.count_files()
+    removed = p.remove_files(["a.csv", "c.parquet", "none"])
+    return s.createDataFrame([(len(ids), counted, removed, p.count_files(["b.json", "a.csv"]))], "registered int, counted int, removed int, left_over int")
 
 
 @query("SELECT l_returnflag, l_linestatus FROM lineitem")

@@ -43,6 +43,7 @@ class Pipeline:
         self._hash: str | None = None
         self._cache: dict[str, object] = {}
         self._nodes: dict[str, object] = {}
+        self._writing = False
         own = self.workspace / "pipeline.xml"
         self.spec = Spec()
         self.load(source if source is not None else own if own.exists() else Spec())
@@ -151,6 +152,11 @@ class Pipeline:
             self.remove_input(i)
         return len(gone)
 
+    def count_files(self, names: list[str] | None = None) -> int:
+        """The number of inputs that are files, or of those of these names."""
+        own = [os.path.basename(i.location) for i in self.spec.inputs if i.location]
+        return len(own) if names is None else sum(n in names for n in own)
+
     # --- events ------------------------------------------------------------------------------------
 
     def subscribe(self, f: Callable[[str, dict], None]) -> None:
@@ -196,7 +202,8 @@ class Pipeline:
                     except Exception:
                         self._tell("node_failed", id=node.id)
                         raise
-                    self._tell("node_completed", id=node.id)
+                    if not self._writing:
+                        self._tell("node_completed", id=node.id)
                 result = self._nodes[node.id]
                 if isinstance(result, dict) and set(result) == {"result", "mask"}:
                     result = result["mask" if name == "mask" else "result"]
@@ -216,8 +223,8 @@ class Pipeline:
                 data = self._port(ref)
                 if node.type in _SPECIAL:
                     key = p.name if p.name not in t.ports and repeated[p.name] == 1 and len(p.sources) == 1 else self.spec.get_name(self.spec.resolve(ref)[0])
-                    while key in tables:
-                        key += "_"
+                    if key in tables:  # the port's own name, then a number
+                        key = p.name if p.name not in tables else next(f"{p.name}_{n}" for n in range(2, 10**6) if f"{p.name}_{n}" not in tables)
                     tables[key] = data
                 elif p.name in t.ports or node.type == "execute_code":
                     args[p.name] = data
@@ -267,15 +274,28 @@ class Pipeline:
             self.spec.order()
             shown = [o for n in self.spec.nodes for o in n.outputs if o.visibility] or [o for n in self.spec.nodes for o in n.outputs if o.id in self.spec.leaves()]
             uses = Counter(a for o in shown for a in self.spec.ancestors(o.id) - {o.id})
+            behind = {o.id: {n.id for n in self.spec.nodes for p in n.outputs if p.id in self.spec.ancestors(o.id) | {o.id}} for o in shown}
+            for n in self.spec.nodes:
+                if any(n.id in ids for ids in behind.values()):
+                    self._tell("node_pending", id=n.id)
+            self._writing = not lazy
             for o in shown:
                 self._port(o.id)
             if not lazy:
+                done: set[str] = set()
                 inner = {o.id for n in self.spec.nodes for o in n.outputs}
                 shared = [d for a, k in uses.items() if k > 1 and a in inner and isinstance(d := self._cache.get(a), DataFrame)]
                 for d in shared:
                     d.persist()
                 for o in shown:
-                    self._write(o)
+                    try:
+                        self._write(o)
+                    except Exception:
+                        self._tell("node_failed", id=self.spec.resolve(o.id)[1].id)
+                        raise
+                    for n in [n.id for n in self.spec.nodes if n.id in behind[o.id] - done]:
+                        self._tell("node_completed", id=n)  # its rows have been computed
+                    done |= behind[o.id]
                 for d in shared:
                     d.unpersist()
                 if stats:
@@ -284,6 +304,8 @@ class Pipeline:
             return True, ""
         except Exception as e:  # noqa: BLE001
             return False, f"{type(e).__name__}: {e}"
+        finally:
+            self._writing = False
 
     def _write(self, o: OutputPort) -> None:
         name, data = self.spec.get_name(o.id), self._cache[o.id]
