@@ -69,8 +69,12 @@ def slug(name: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^a-z0-9]+", "_", "".join(c for c in text if not unicodedata.combining(c)))).strip("_") or "table"
 
 
-def compile_region(region: Region, header_rows: int = 1) -> list[tuple[str, dict]]:
-    """The steps that make a plain table of a region."""
+def compile_region(region: Region, header_rows: int = 1, first_column: str = "A") -> list[tuple[str, dict]]:
+    """The steps that make a plain table of a region.
+
+    ``first_column`` is where the table starts in its sheet: columns are known by their letters as well as by their
+    names, so a name that the mapping gives otherwise than the header rows do still finds its column.
+    """
     if region.pattern not in PATTERNS:
         raise ValueError(f"unknown pattern {region.pattern}")
     if region.pattern == "form":
@@ -82,6 +86,9 @@ def compile_region(region: Region, header_rows: int = 1) -> list[tuple[str, dict
         steps.append(("flatten_header", {"start": 0, "end": header_rows - 1}))
     elif header_rows == 1:
         steps.append(("promote_header", {"row_index": 0}))
+    if region.pattern != "transposed_grid" and header_rows:
+        letters = [(c.column, c.detected_name) for c in region.anchors + region.pivots + region.values if c.column and c.detected_name]
+        steps.append(("align_names", {"cells": letters, "first_column": first_column}))
     steps.append(("drop_empty_rows", {"threshold": 0.8}))
     if region.data_rows:
         first, last = region.data_rows
@@ -121,7 +128,21 @@ def _form(df: DataFrame, fields: tuple[tuple[str, str, str], ...]) -> DataFrame:
     return C.cast_types(df.agg(*picks), {n: k for n, _, k in fields if k != "string"})
 
 
+def align_names(df: DataFrame, cells: list[tuple[str, str]], first_column: str = "A") -> DataFrame:
+    """Gives columns the names that a mapping knows them by, where no column has that name: by their letters in the
+    sheet, of which the table's first one is ``first_column``. Columns whose names are mapped are left alone."""
+    own, start = visible(df), sheets.column_number(first_column)
+    wanted = {name for _, name in cells}
+    renames = {}
+    for letter, name in cells:
+        at = sheets.column_number(letter) - start
+        if name not in own and 0 <= at < len(own) and own[at] not in wanted and own[at] not in renames:
+            renames[own[at]] = name
+    return C.rename_columns(df, renames)
+
+
 STEPS: dict[str, Callable[..., DataFrame]] = {
+    "align_names": align_names,
     "promote_header": C.promote_header,
     "flatten_header": C.flatten_header,
     "drop_empty_rows": R.drop_empty_rows,
@@ -193,12 +214,13 @@ def tidy_excel_data(
     out: dict[str, DataFrame] = {}
     for t in tables:
         part = extract(own[t.sheet], t.range)
+        first = sheets.column_letters(sheets.cell_range(t.range)[1]) if t.range else "A"
         base, trouble = sheets.grid(spark, part), None
         df = base
         for _ in range(max(1, retries) if map_table else 1):
             region = map_table(t, sheets.snapshot(part), trouble) if map_table else Region()
             try:
-                df, report = execute_steps(base, compile_region(region, t.header_rows))
+                df, report = execute_steps(base, compile_region(region, t.header_rows, first))
             except ValueError as e:
                 report = Report("error", [str(e)])
             if report.status == "ok":

@@ -244,6 +244,34 @@ def x_flat_sheet(s, d):
     return tidy.tidy_excel_data(local(path), spark=s)["nations"]
 
 
+@query("SELECT n_nationkey::BIGINT AS key, n_name AS nation FROM nation")
+def x_aligned(s, d):
+    """A table in the middle of a sheet whose mapping names a column otherwise than its header does."""
+    from weftline.operators import tidy
+
+    grid = [[], [None, "Nation key (no.)", "name"], *[[None, k, n] for k, n, _ in _nations(s, d)]]
+    path = put(place(s) + ".xlsx", workbook({"S": grid}))
+    region = tidy.Region(anchors=(tidy.Cell("B", "nation key", "key", "int"), tidy.Cell("C", "name", "nation")))
+    return tidy.tidy_excel_data(local(path), lambda view: [tidy.Table("S", f"B2:C{len(grid)}", "t")], lambda *_: region, spark=s)["t"]
+
+
+@query("SELECT 'Nations' AS sheet, (n_nationkey + 2)::INTEGER AS row_no, n_name AS name, CASE WHEN n_nationkey < 2 THEN 'first' END AS span FROM nation UNION ALL SELECT 'Nations', 0, 'name', NULL UNION ALL SELECT 'Nations', 1, NULL, NULL")
+def s_ods(s, d):
+    """A sheet of an open document, with an empty row and a span of two rows."""
+    from weftline.sources import readers
+
+    space = " ".join(f'xmlns:{n}="urn:oasis:names:tc:opendocument:xmlns:{n}:1.0"' for n in ("office", "table", "text"))
+    text = lambda v, more="": f'<table:table-cell office:value-type="string"{more}><text:p>{v}</text:p></table:table-cell>'
+    span = {0: text("first", ' table:number-rows-spanned="2"'), 1: "<table:covered-table-cell/>"}
+    rows = "".join(f'<table:table-row><table:table-cell office:value-type="float" office:value="{k}"/>{text(n)}{span.get(k, "")}</table:table-row>' for k, n, _ in _nations(s, d))
+    tail = '<table:table-row table:number-rows-repeated="1000000"><table:table-cell table:number-columns-repeated="16384"/></table:table-row>'
+    body = f'<table:table table:name="Nations"><table:table-row>{text("key")}{text("name")}</table:table-row><table:table-row/>{rows}{tail}</table:table>'
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("content.xml", f"<office:document-content {space}><office:body><office:spreadsheet>{body}</office:spreadsheet></office:body></office:document-content>")
+    return readers.read(s, put(place(s) + ".ods", out.getvalue()), "ODS").select("sheet", "row_no", F.col("cells")[1].alias("name"), F.col("cells")[2].alias("span"))
+
+
 def _cross(s: SparkSession, d: str) -> list[list[object]]:
     """Nations down, regions across, 1 where a nation is of a region, above two rows of heads."""
     rows = _nations(s, d)

@@ -141,8 +141,8 @@ class Pipeline:
             while str(n) in self.spec.ids():
                 n += 1
             kind = "DICOM" if os.path.isdir(p) and not any(Path(p).glob("*.parquet")) else "PARQUET" if os.path.isdir(p) else readers.format_of(base)
-            out.append(self.add_input(n, Path(base).stem, str(p), kind, visibility=kind not in ("JSON", "XLSX")))
-            if kind == "XLSX":
+            out.append(self.add_input(n, Path(base).stem, str(p), kind, visibility=kind not in ("JSON", "XLSX", "ODS")))
+            if kind in ("XLSX", "ODS"):
                 self.add_node("tidy_excel_data", inputs={"path_excel": str(n)}, label=f"tidy_{Path(base).stem}")
         return out
 
@@ -183,7 +183,7 @@ class Pipeline:
         if files:
             return {k: infer_types(d) if i.format in ("CSV", "TSV") else d for k, d in readers.temporal(self.spark, files, i.format, **options).items()}
         path = resolve(location, str(self.workspace))
-        if i.format in ("XLSX", "XLSM"):
+        if i.format in ("XLSX", "XLSM", "ODS"):
             return path
         df = readers.read(self.spark, path, i.format, **options)
         return infer_types(df) if i.format in ("CSV", "TSV") else df

@@ -122,9 +122,72 @@ def _value(c: ElementTree.Element, shared: list[str], dates: set[int], base: dt.
     return int(x) if x.is_integer() and "." not in v.text and "E" not in v.text.upper() else x
 
 
+_TABLE, _OFFICE, _P = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}", "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}", "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}p"
+
+
+def _open_value(c: ElementTree.Element) -> object:
+    """The value of a cell of an open-document sheet."""
+    kind = c.get(f"{_OFFICE}value-type")
+    if kind in ("float", "percentage", "currency"):
+        x = float(c.get(f"{_OFFICE}value"))
+        return int(x) if x.is_integer() else x
+    if kind == "date":
+        return dt.datetime.fromisoformat(c.get(f"{_OFFICE}date-value"))
+    if kind == "boolean":
+        return c.get(f"{_OFFICE}boolean-value") == "true"
+    return "\n".join("".join(p.itertext()) for p in c.iter(_P)) or None
+
+
+def _open_document(z: zipfile.ZipFile, fill_merged: bool) -> list[Sheet]:
+    """The sheets of an open document. Repeated rows and cells at the end of a sheet, which stand for nothing, are
+    left out; spans are filled with their first cell's value."""
+    out = []
+    for table in ElementTree.fromstring(z.read("content.xml")).iter(f"{_TABLE}table"):
+        sheet, spans, empty = Sheet(table.get(f"{_TABLE}name")), [], 0
+        for row in table.iter(f"{_TABLE}table-row"):
+            cells: list[object] = []
+            for c in row:
+                if c.tag not in (f"{_TABLE}table-cell", f"{_TABLE}covered-table-cell"):
+                    continue
+                value, many = _open_value(c), int(c.get(f"{_TABLE}number-columns-repeated", 1))
+                wide, high = int(c.get(f"{_TABLE}number-columns-spanned", 1)), int(c.get(f"{_TABLE}number-rows-spanned", 1))
+                if wide * high > 1:
+                    spans.append((len(sheet.rows) + empty, sum(x.n if isinstance(x, _Gap) else 1 for x in cells), high, wide, value))
+                if value is None:
+                    cells.append(_Gap(many))
+                else:
+                    cells += [value] * many
+            while cells and isinstance(cells[-1], _Gap):
+                cells.pop()
+            flat = [v for x in cells for v in ([None] * x.n if isinstance(x, _Gap) else [x])]
+            many = int(row.get(f"{_TABLE}number-rows-repeated", 1))
+            if not flat:
+                empty += many
+                continue
+            sheet.rows += [[] for _ in range(empty)] + [list(flat) for _ in range(many)]
+            empty = 0
+        for r, c, high, wide, value in spans:
+            sheet.merged.append((r, c, r + high - 1, c + wide - 1))
+            for y in range(r, r + high if fill_merged else r):
+                while len(sheet.rows) <= y:
+                    sheet.rows.append([])
+                sheet.rows[y] += [None] * (c + wide - len(sheet.rows[y]))
+                sheet.rows[y][c : c + wide] = [value] * wide
+        sheet.rows = [r + [None] * (sheet.width - len(r)) for r in sheet.rows]
+        out.append(sheet)
+    return out
+
+
+@dataclass
+class _Gap:
+    n: int
+
+
 def workbook(data: bytes | str, fill_merged: bool = True) -> list[Sheet]:
-    """All sheets of a workbook; merged ranges are filled with their first cell's value."""
+    """All sheets of a workbook (XLSX or ODS); merged ranges are filled with their first cell's value."""
     with zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data) as z:
+        if "content.xml" in z.namelist():
+            return _open_document(z, fill_merged)
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         shared = [_text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind(f"{_MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []
@@ -182,7 +245,7 @@ def grid(spark: SparkSession, sheet: Sheet) -> DataFrame:
     return spark.createDataFrame(rows, "__ord bigint, " + ", ".join(f"{c} string" for c in cols))
 
 
-@reader("XLSX", "XLSM")
+@reader("XLSX", "XLSM", "ODS")
 def read_xlsx(spark: SparkSession, paths: list[str], options: dict[str, str]) -> DataFrame:
     """All cells of workbooks: ``file_name, sheet, row_no, cells``; a workbook is one task's work."""
 
