@@ -269,3 +269,16 @@ def test_windows_in_groups(spark):
     want = {r["__ord"]: (r.a, r.b) for r in df.select("__ord", F.sum("x").over(w.rowsBetween(-3, 2)).alias("a"), F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("b")).collect()}
     got = running_sum(framed(df, {"a": lambda w: F.sum("x").over(w.rowsBetween(-3, 2))}, 3, 2, least=10, keys=["k"]), "x", "b", size=16, keys=["k"])
     assert {r["__ord"]: (r.a, r.b) for r in got.collect()} == want
+
+
+def test_exact_ranks_of_large_tables(spark, monkeypatch):
+    from weftline import semantics
+
+    df = spark.range(301).selectExpr("IF(id % 7 = 0, NULL, id % 3) AS k", "IF(id % 11 = 0, NULL, (id * 37 % 101) / 4.0D) AS v", "id % 5 AS w", "'t' AS t", "CAST(NULL AS DOUBLE) AS e")
+    sets = [(["k"], "_m"), (["k", "t"], None), (None, None)]
+    small = [sorted(map(tuple, A.aggregate_median(df, k, x).collect()), key=str) for k, x in sets]
+    cut = [r.v_bin for r in M.discretize(df, "v", 7, "quantile").collect()]
+    monkeypatch.setattr(semantics, "LARGE_BYTES", 0)
+    assert [sorted(map(tuple, A.aggregate_median(df, k, x).collect()), key=str) for k, x in sets] == small
+    assert [r.v_bin for r in M.discretize(df, "v", 7, "quantile").collect()] == cut
+    assert A.aggregate_median(df.limit(0), "k").count() == 0

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from weftline.functions.ordered import running_sum
 from weftline.registry import transform
-from weftline.semantics import col, is_number, kind, names, need, number, visible
+from weftline.semantics import col, is_large, is_number, kind, names, need, number, visible
 
 
 def _extreme(df: DataFrame | None, column: str | None, input_list: list | None, f: Callable, name: str) -> DataFrame:
@@ -67,10 +68,43 @@ def aggregate_sum(df: DataFrame, group_columns: str | list[str] | None = None, s
 def aggregate_median(df: DataFrame, group_columns: str | list[str] | None = None, suffix: str | None = None) -> DataFrame:
     """Exact medians of all numeric columns per group.
 
-    An exact median holds a group's distinct values and their counts in one buffer; see approximate_median
-    for groups of very many distinct values.
+    Spark's median holds a group's distinct values and their counts in one buffer. Large tables (by the optimizer's
+    estimate) go another way to the same result: values are counted, their counts summed up in the order of values
+    by blocks, and the values at the middle ranks picked, so no task holds a group.
     """
-    return _grouped(df, group_columns, suffix, F.median)
+    return _medians_by_rank(df, group_columns, suffix) if is_large(df) else _grouped(df, group_columns, suffix, F.median)
+
+
+def _medians_by_rank(df: DataFrame, group_columns: str | list[str] | None, suffix: str | None) -> DataFrame:
+    keys = names(group_columns)
+    need(df, keys, "Group columns")
+    full = df.dropna(subset=[f"`{k}`" if "." in k else k for k in keys]) if keys else df
+    out = full.select(*map(col, keys)).distinct() if keys else None
+    for c in _numeric(df, keys):
+        values = full.select(*[col(k).alias(f"k{n}") for n, k in enumerate(keys)], number(df, c).cast("double").alias("v")).where("v is not null and not isnan(v)")
+        own = [f"k{n}" for n in range(len(keys))]
+        counts = values.groupBy(*own, "v").count()
+        summed = running_sum(counts, "count", "upto", order="v", keys=own)
+        total = counts.groupBy(*[F.col(k).alias(f"t{n}") for n, k in enumerate(own)]).agg(F.sum("count").alias("n"))
+        same = F.lit(True)
+        for n, k in enumerate(own):
+            same = same & (F.col(k) == F.col(f"t{n}"))
+        placed = summed.join(total, same) if own else summed.crossJoin(F.broadcast(total))  # one row
+        middle = [F.min(F.when(F.col("upto") >= rank, F.col("v"))) for rank in (F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)]
+        one = placed.groupBy(*own).agg(((middle[0] + middle[1]) / 2).alias("m")) if own else placed.agg(((middle[0] + middle[1]) / 2).alias("m"))
+        name = c + (suffix or "")
+        if out is None:
+            out = one.select(F.col("m").alias(name))
+        elif not keys:
+            out = out.crossJoin(F.broadcast(one.select(F.col("m").alias(name))))  # one row each
+        else:
+            on = F.lit(True)
+            for n, k in enumerate(keys):
+                on = on & (out[f"`{k}`"] == one[f"k{n}"])
+            out = out.join(one, on, "left").select(*[col(x) for x in out.columns], F.col("m").alias(name))
+    if out is None:
+        return df.select().limit(0)
+    return out.orderBy(*map(col, keys)) if keys else out
 
 
 def approximate_median(df: DataFrame, group_columns: str | list[str] | None = None, suffix: str | None = None, accuracy: int = 10_000) -> DataFrame:

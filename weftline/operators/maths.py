@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from weftline.functions.ordered import numbered
 from weftline.registry import transform
-from weftline.semantics import col, divided, kind, names, need, number
+from weftline.semantics import col, divided, is_large, kind, names, need, number
 
 
 @transform("arithmetic_op", df="DATAFRAME", left_column="COLUMN_NAME", operator="STRING", right_column="COLUMN_NAME", constant="FLOAT", output_column="STRING")
@@ -69,6 +70,11 @@ def _edges(df: DataFrame, column: str, bins: int, strategy: str) -> list[float]:
     # ranks that are whole numbers name one order statistic exactly
     ranks = [k * (n - 1) / bins for k in range(bins + 1)]
     ranks = [round(r) if abs(r - round(r)) < 1e-9 else r for r in ranks]
+    if is_large(df):  # by sorted positions: one buffer would hold all distinct values
+        near = sorted({int(k) for r in ranks for k in (r // 1, -(-r // 1))})
+        own = numbered(df.select(x.alias("x")).where("x is not null"), [F.col("x").asc()])
+        at = {r["__pos"]: r.x for r in own.where(F.col("__pos").isin(near)).collect()}
+        return sorted({at[int(r // 1)] + (at[int(-(-r // 1))] - at[int(r // 1)]) * (r - r // 1) for r in ranks})
     got = df.agg(F.percentile(x, F.array(*[F.lit(min(1.0, r / (n - 1)) if n > 1 else 0.0) for r in ranks]))).first()[0]
     return sorted(set(got))
 

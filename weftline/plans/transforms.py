@@ -445,6 +445,14 @@ def l_labels(s, d):
     return labels.nlp_binarize_labels_auto(t(s, d, "cell_references").select("cell_ref_id", "data_type"), "data_type", 3).withColumn("value", F.col("value"))
 
 
+@query("""WITH f AS (SELECT dataset_id, load_no, field_id, list_distinct(list_filter(list_transform(string_split(coalesce(lower(uniques), ''), ','), lambda x: strip_accents(trim(x))), lambda x: x <> '')) AS found FROM field_metadata),
+  top AS (SELECT label FROM (SELECT unnest(found) AS label FROM f) GROUP BY label ORDER BY count(*) DESC, label LIMIT 5)
+  SELECT dataset_id, load_no, field_id, label AS uniques, list_contains(found, label)::INT AS value FROM f, top""")
+def l_labels_split(s, d):
+    """Cells of several labels, split at their most usual delimiter."""
+    return labels.nlp_binarize_labels_auto(t(s, d, "field_metadata").select("dataset_id", "load_no", "field_id", "uniques"), "uniques", 5)
+
+
 @query("SELECT event_id, h AS event_type, (event_type = h)::INT AS value FROM (SELECT event_id, event_type FROM events) e, (SELECT event_type AS h FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2)")
 def l_hinted(s, d):
     e = t(s, d, "events").select("event_id", F.concat(F.col("event_type"), F.lit(" ")).alias("event_type"))

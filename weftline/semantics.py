@@ -101,3 +101,12 @@ def names(value: str | list[str] | None) -> list[str]:
         parts = value.strip().removeprefix("[").removesuffix("]").split(",")
         return [p for p in (x.strip().strip("'\"").strip() for x in parts) if p]
     return list(value)
+
+
+#: Estimated bytes of a table from which exact ranks are found by sorted positions and not in one buffer.
+LARGE_BYTES = 8 << 30
+
+
+def is_large(df: DataFrame) -> bool:
+    """Whether the optimizer estimates a table at LARGE_BYTES or more; takes no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= LARGE_BYTES
